@@ -6,7 +6,7 @@ the first hit.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slipweave import rules as R
 from slipweave.functions.regex import DIGIT, THAI, any_of, quoted, to_java
@@ -16,40 +16,26 @@ from slipweave.functions.text import (ascii_digits, contains_any, first_of, firs
 
 # ---- banks ------------------------------------------------------------------------------------
 
-def _bank_scores(text: Column) -> Column:
-    low = F.lower(text)
-    scored = []
-    for ord_, (code, patterns, account) in enumerate(R.BANK_PATTERNS):
-        hits = F.lit(0)
-        score = F.lit(0.0)
-        for p in patterns:
-            hit = has(low, p)
-            hits = hits + F.when(hit, 1).otherwise(0)
-            score = score + F.when(hit, F.lit(max(len(p) / 10.0, 0.5))).otherwise(F.lit(0.0))
-        scored.append(F.struct(
-            F.lit(ord_).alias("ord"), F.lit(code).alias("code"), hits.alias("hits"), score.alias("raw"),
-            (has(text, account) if account else F.lit(False)).alias("account")))
-    boosted = F.transform(F.array(*scored), lambda s: F.struct(
-        (F.when(s["hits"] > 1, s["raw"] * F.lit(1.3)).otherwise(s["raw"])
-         + F.when(s["account"], F.lit(1.0)).otherwise(F.lit(0.0))).alias("score"),
-        (-s["ord"]).alias("neg_ord"), s["code"].alias("code")))
-    return F.filter(boosted, lambda s: s["score"] > 0)
-
-
-def detect_bank(text: Column) -> Column:
-    """struct(code, confidence): the best scored bank, the earlier rule on ties.
-
-    Texts without any rule word skip the scoring.
+def with_bank(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out`` = struct(code, confidence): the best scored bank, the earlier rule on ties.
+
+    A hit weighs the length of its pattern; the sums run in whole hundredths so that ties are exact.
     """
-    scores = _bank_scores(text)
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s["score"])
-    best = F.array_max(scores)
-    # one pass over the scores: a single-element array binds them for both uses
-    bound = F.transform(F.array(F.struct(best.alias("best"), total.alias("total"))), lambda b: F.struct(
-        F.coalesce(b["best"]["code"], F.lit("UNKNOWN")).alias("code"),
-        F.coalesce(F.least(b["best"]["score"] / F.nullif(b["total"], F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-        .alias("confidence")))
-    return F.get(bound, F.lit(0))
+    parts = []
+    for ord_, (code, patterns, account) in enumerate(R.BANK_PATTERNS):
+        # count and weight of the hits travel in one integer: 1000 per hit plus tenths
+        packed = " + ".join(f"CASE WHEN _low RLIKE r'{to_java(p)}' THEN {1000 + max(len(p), 5)} ELSE 0 END" for p in patterns)
+        bonus = f"CASE WHEN `{text}` RLIKE r'{to_java(account)}' THEN 100 ELSE 0 END" if account else "0"
+        parts.append(f"named_struct('packed', {packed}, 'bonus', {bonus}, 'neg_ord', {-ord_}, 'code', '{code}')")
+    scored = (df.withColumn("_low", F.lower(text)).withColumn("_raw", F.expr(f"array({', '.join(parts)})"))
+              .withColumn("_sc", F.expr(
+                  "filter(transform(_raw, r -> named_struct('score', (r.packed % 1000) * "
+                  "CASE WHEN r.packed >= 2000 THEN 13 ELSE 10 END + r.bonus, 'neg_ord', r.neg_ord, 'code', r.code)), "
+                  "r -> r.score > 0)")))
+    return scored.withColumn(out, F.expr(
+        "named_struct('code', coalesce(array_max(_sc).code, 'UNKNOWN'), 'confidence', "
+        "coalesce(array_max(_sc).score / nullif(aggregate(_sc, 0, (a, r) -> a + r.score), 0), 0D))")
+    ).drop("_low", "_raw", "_sc")
 
 
 def bank_name(code: Column) -> Column:
@@ -165,22 +151,33 @@ def _month_scan() -> list[tuple[str, int]]:
     return sorted(table, key=lambda t: -len(t[0]))
 
 
-def _named_month_date(text: Column, name: str, number: int) -> Column:
-    def build(m):
-        year = to_int(F.regexp_extract(m, f"([{DIGIT}]+)$", 1))
+def _named_month_date(text: Column) -> Column:
+    """Date with a written month. Longer month names are tried first; per name only its first place in
+    the text counts. The year is looked at but not consumed, so neighbouring dates may share digits."""
+    ranks = F.create_map(*[F.lit(v) for i, (name, number) in enumerate(_month_scan()) for v in (name, i * 100 + number)])
+    pattern = rf"(\d{{1,2}})\s*({any_of([n for n, _ in _month_scan()])})(?=\s*(\d{{2,4}}))"
+    parts = F.arrays_zip(rx_all(text, pattern, 1).alias("d"), rx_all(text, pattern, 2).alias("m"),
+                         rx_all(text, pattern, 3).alias("y"))
+
+    def build(p, i):
+        year = to_int(p["y"])
         year = F.when(year < 100, year + 2500).otherwise(year)
-        return _date(_common_era(year), F.lit(number), to_int(F.regexp_extract(m, f"^([{DIGIT}]+)", 1)))
-    pattern = rf"(\d{{1,2}})\s*{quoted(name)}\s*(\d{{2,4}})"
-    return first_of(F.transform(F.array(rx(text, pattern)), build))
+        key = F.element_at(ranks, p["m"])
+        return F.struct((key.cast("int") / 100).cast("int").alias("rank"), i.alias("pos"),
+                        _date(_common_era(year), key % 100, to_int(p["d"])).alias("date"))
+
+    def best(found):
+        valid = F.filter(found, lambda x: x["date"].isNotNull() & ~F.exists(
+            found, lambda y: (y["rank"] == x["rank"]) & (y["pos"] < x["pos"])))
+        return F.array_min(valid)["date"]
+    return F.when(has(text, pattern), F.get(F.transform(F.array(F.transform(parts, build)), best), F.lit(0)))
 
 
 def date_cascade(text: Column, line_array: Column) -> Column:
     """First valid date by rule order; an impossible calendar date falls through to the next rule."""
     long_form = _numeric_date(text, R.NUMERIC_DATE_LONG, _common_era)
     short_form = _numeric_date(text, R.NUMERIC_DATE_SHORT, lambda y: y + F.when(y < 70, 2000).otherwise(1900))
-    by_month = [_named_month_date(text, name, number) for name, number in _month_scan()]
-    months = any_of([name for name, _ in _month_scan()])
-    thai_month = F.when(has(text, rf"\d\s*(?:{months})\s*\d"), F.coalesce(*by_month))
+    thai_month = _named_month_date(text)
     compact = first_of(F.transform(rx_all(text, R.COMPACT_DATE), lambda m: _date(
         to_int(F.substring(m, 1, 4)), to_int(F.substring(m, 5, 2)), to_int(F.substring(m, 7, 2)))))
 

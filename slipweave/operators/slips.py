@@ -90,15 +90,15 @@ def with_receiver_bank(df: DataFrame) -> DataFrame:
     located = df.withColumn("_cue", cue).withColumn("_second", F.get(accounts, F.lit(1)))
     picked = located.withColumn("_part", F.when(F.col("_cue").isNotNull(), F.slice("lines", F.col("_cue") + 1, F.lit(6)))
                                 .when(F.col("_second").isNotNull(), F.slice("lines", F.col("_second") + 1, F.lit(4))))
-    code = X.detect_bank(F.array_join("_part", "\n"))["code"]
-    return (picked.withColumn("receiver_bank_code", F.when(F.col("_part").isNotNull() & (code != "UNKNOWN"), code))
-            .drop("_cue", "_second", "_part"))
+    scored = X.with_bank(picked.withColumn("_text", F.array_join("_part", "\n")), "_text", "_rb")
+    return (scored.withColumn("receiver_bank_code", F.nullif(F.col("_rb.code"), F.lit("UNKNOWN")))
+            .drop("_cue", "_second", "_part", "_text", "_rb"))
 
 
 def parse_slips(df: DataFrame) -> DataFrame:
     """End-to-end job: text row -> fact row. Empty texts become failed rows, never exceptions."""
     text = F.coalesce("raw_text", F.lit(""))
-    base = with_lines(df).withColumn("_bank", X.detect_bank(text))
+    base = X.with_bank(with_lines(df.withColumn("_text", text)), "_text", "_bank").drop("_text")
     scalar = base.select(
         "*", F.col("_bank.code").alias("bank_code"), F.col("_bank.confidence").alias("bank_confidence"),
         X.amount_cascade(text, F.col("lines")).alias("amount"),
