@@ -9,13 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipweave import rules as R
-from slipweave.functions.regex import DIGIT, THAI, any_of, quoted, to_java
-from slipweave.functions.text import (ascii_digits, contains_any, first_of, first_where, has, rx, rx_all, squeeze,
+from slipweave.functions.regex import DIGIT, THAI, any_of, literal_core, quoted, to_java
+from slipweave.functions.text import (ascii_digits, contains_any, first_of, first_where, has, let, rx, rx_all, squeeze,
                                       strip, sub, to_int)
 
 
 # ---- banks ------------------------------------------------------------------------------------
 
+def _sql_test(column: str, pattern: str) -> str:
+    core = literal_core(pattern)
+    guard = f"contains({column}, '{core}')" if core else "true"
+    return guard if core == pattern else f"({guard} AND {column} RLIKE r'{to_java(pattern)}')"
+
+
 def with_bank(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out`` = struct(code, confidence): the best scored bank, the earlier rule on ties.
 
@@ -24,7 +30,7 @@ def with_bank(df: DataFrame, text: str, out: str) -> DataFrame:
     parts = []
     for ord_, (code, patterns, account) in enumerate(R.BANK_PATTERNS):
         # count and weight of the hits travel in one integer: 1000 per hit plus tenths
-        packed = " + ".join(f"CASE WHEN _low RLIKE r'{to_java(p)}' THEN {1000 + max(len(p), 5)} ELSE 0 END" for p in patterns)
+        packed = " + ".join(f"CASE WHEN {_sql_test('_low', p)} THEN {1000 + max(len(p), 5)} ELSE 0 END" for p in patterns)
         bonus = f"CASE WHEN `{text}` RLIKE r'{to_java(account)}' THEN 100 ELSE 0 END" if account else "0"
         parts.append(f"named_struct('packed', {packed}, 'bonus', {bonus}, 'neg_ord', {-ord_}, 'code', '{code}')")
     scored = (df.withColumn("_low", F.lower(text)).withColumn("_raw", F.expr(f"array({', '.join(parts)})"))
@@ -81,7 +87,7 @@ def amount_cascade(text: Column, line_array: Column) -> Column:
     largest two-decimal number that is not a year."""
     def of_line(line):
         found = F.coalesce(_positive(rx(line, R.AMOUNT_LABELLED, 1, True)), _positive(rx(line, R.AMOUNT_DECIMAL, 1)))
-        return F.when(~has(line, R.AMOUNT_SKIP_LINE, True), found)
+        return F.when(has(line, r"\d") & ~has(line, R.AMOUNT_SKIP_LINE, True), found)
 
     by_line = first_of(F.transform(line_array, of_line))
     by_pattern = [first_of(F.transform(rx_all(text, p, 1, True), _positive)) for p in R.AMOUNT_PATTERNS]
@@ -269,12 +275,14 @@ def reference_short(text: Column) -> Column:
 def memo(raw_line_array: Column) -> Column:
     """Text after a memo label or on the next line, unless it reads like another field."""
     labels = any_of(R.MEMO_LABELS)
-    after = f"(?iu)(?:{labels})[: \\t\\x0B\\f\\x1C-\\x1F\\x85\\xA0]*([^\\n].*)"
+    after = f"(?i)(?:{labels})[: \\t\\x0B\\f\\x1C-\\x1F\\x85\\xA0]*([^\\n].*)"
 
-    def candidate(line, i):
-        same = F.nullif(strip(F.regexp_extract(line, after, 1)), F.lit(""))
-        following = F.nullif(strip(F.get(raw_line_array, i + 1)), F.lit(""))
-        return F.when(has(F.lower(line), labels), F.coalesce(same, following))
+    def candidates(arr):
+        def of_line(line, i):
+            same = F.nullif(strip(F.regexp_extract(line, after, 1)), F.lit(""))
+            following = F.nullif(strip(F.get(arr, i + 1)), F.lit(""))
+            return F.when(contains_any(F.lower(line), R.MEMO_LABELS), F.coalesce(same, following))
+        return F.filter(F.transform(arr, of_line), lambda c: c.isNotNull())
 
     def acceptable(c):
         other = F.lit(False)
@@ -283,7 +291,8 @@ def memo(raw_line_array: Column) -> Column:
         for p in [R.NUMERIC_DATE_LONG, R.NUMERIC_DATE_SHORT, R.THAI_DATE_LOOSE] + R.TIME_PATTERNS:
             other = other | has(c, p)
         return ~other
-    return first_where(F.transform(raw_line_array, candidate), lambda c: c.isNotNull() & acceptable(c))
+    found = F.get(F.transform(F.array(raw_line_array), candidates), F.lit(0))
+    return first_where(found, acceptable)
 
 
 # ---- accounts and names -----------------------------------------------------------------------
@@ -294,13 +303,16 @@ def account(line: Column) -> Column:
 
 def account_like(value: Column) -> Column:
     """The account token makes up most of the line."""
-    bare = strip(value)
-    token = sub(rx(bare, R.ACCOUNT_PATTERN), r"\s+", "")
-    packed = sub(bare, r"\s+", "")
-    token_chars = F.length(F.regexp_replace(token, "[^A-Za-z0-9xX-]", ""))
-    line_chars = F.length(F.regexp_replace(packed, f"[^A-Za-z0-9{THAI}xX\\.-]", ""))
-    return F.coalesce((F.lower(token) == F.lower(packed))
-                      | ((line_chars > 0) & (token_chars >= R.ACCOUNT_SHARE * line_chars)), F.lit(False))
+    def compare(pair):
+        token_chars = F.length(F.regexp_replace(pair["token"], "[^A-Za-z0-9xX-]", ""))
+        line_chars = F.length(F.regexp_replace(pair["line"], f"[^A-Za-z0-9{THAI}xX\\.-]", ""))
+        return (F.lower(pair["token"]) == F.lower(pair["line"])) | (
+            (line_chars > 0) & (token_chars >= R.ACCOUNT_SHARE * line_chars))
+
+    def of_token(token):
+        pair = F.struct(sub(token, r"\s+", "").alias("token"), sub(strip(value), r"\s+", "").alias("line"))
+        return F.when(token.isNull(), F.lit(False)).otherwise(let(pair, compare))
+    return let(rx(strip(value), R.ACCOUNT_PATTERN), of_token)
 
 
 def noise_vocabulary() -> list[str]:
@@ -321,9 +333,11 @@ def name_tokens(value: Column) -> Column:
 def is_header_name(value: Column) -> Column:
     """Nothing but bank or header words."""
     vocab = noise_vocabulary()
+
+    def of_tokens(tokens):
+        return (F.size(tokens) > 0) & F.forall(tokens, lambda t: t.isin(vocab))
     packed = F.regexp_replace(F.lower(value), f"[^a-z0-9{THAI}]+", "")
-    tokens = name_tokens(value)
-    return (packed == "") | packed.isin(vocab) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: t.isin(vocab)))
+    return let(name_tokens(value), of_tokens) | let(packed, lambda c: (c == "") | c.isin(vocab))
 
 
 def clean_person(value: Column) -> Column:
@@ -338,31 +352,39 @@ def clean_merchant(value: Column) -> Column:
     """Latin merchant name without bank noise; NULL when fewer than two words stay."""
     bare = F.regexp_replace(sub(value, R.MERCHANT_NOISE, " ", True), r"[^A-Za-z0-9&.,'() -]+", " ")
     bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[ \-.,]+|[ \-.,]+$", "")
-    kept = F.array_join(F.filter(F.split(bare, " "), lambda t: (F.length(t) > 1) | t.rlike(r"\d")), " ")
-    ok = (F.regexp_count(bare, F.lit(r"\d")) < 8) & (F.regexp_count(kept, F.lit("[A-Za-z]{2,}")) >= 2) & ~is_header_name(kept)
-    return F.when(ok, kept)
+
+    def of_bare(b):
+        kept = F.array_join(F.filter(F.split(b, " "), lambda t: (F.length(t) > 1) | t.rlike(r"\d")), " ")
+        return F.when(F.regexp_count(b, F.lit(r"\d")) < 8, let(kept, lambda k: F.when(
+            (F.regexp_count(k, F.lit("[A-Za-z]{2,}")) >= 2) & ~is_header_name(k), k)))
+    # cleaning never adds words, so a text without two Latin words is out at once
+    return F.when(F.rlike(value, F.lit("(?s)[A-Za-z]{2}.*?[^A-Za-z][A-Za-z]{2}")), let(bare, of_bare))
 
 
 def name_of_line(line: Column) -> Column:
     """Person or merchant name found on one line, else NULL."""
-    def decide(s):
-        prefix = has(s, R.PERSON_PREFIX)
-        digits = has(s, r"\d")
-        thai = s.rlike(f"[{THAI}]")
-        flat = squeeze(s)
+    nothing = F.lit(None).cast("string")
+
+    def titled(flat):
         reads_as_transaction = has(flat, r"\d{1,2}[:.]\d{2}|\d[\d,]*\.\d{2}|\d{6,}")
-        titled = F.when(thai & prefix & (F.length(flat) >= 4) & ~reads_as_transaction & ~is_header_name(flat),
-                        clean_person(flat))
-        found = strip(rx(s, R.THAI_NAME))
-        plain = F.when((F.length(found) >= 4) & ~contains_any(found, R.NAME_NOISE) & ~is_header_name(found)
-                       & ~account_like(found), clean_person(found))
-        merchant = clean_merchant(s)
-        return (F.when((s == "") | account_like(s), F.lit(None).cast("string"))
-                .when(digits & ~prefix & thai, F.lit(None).cast("string"))
-                .when(digits & ~prefix, merchant)
-                .otherwise(F.coalesce(titled, plain, merchant)))
-    stripped = strip(F.regexp_replace(line, r"^[^:：]*[:：]\s*", ""))
-    return F.get(F.transform(F.array(stripped), decide), F.lit(0))
+        return F.when((F.length(flat) >= 4) & ~reads_as_transaction & ~is_header_name(flat), clean_person(flat))
+
+    def plain(found):
+        return F.when((F.length(found) >= 4) & ~contains_any(found, R.NAME_NOISE) & ~is_header_name(found)
+                      & ~account_like(found), clean_person(found))
+
+    def decide(x):
+        s, untitled_number = x["s"], x["digits"] & ~x["prefix"]
+        return (F.when((s == "") | (untitled_number & x["thai"]), nothing)
+                .when(account_like(s), nothing)
+                .when(untitled_number, clean_merchant(s))
+                .otherwise(F.coalesce(F.when(x["thai"] & x["prefix"], let(squeeze(s), titled)),
+                                      let(strip(rx(s, R.THAI_NAME)), plain), clean_merchant(s))))
+
+    def describe(s):
+        return let(F.struct(s.alias("s"), has(s, R.PERSON_PREFIX).alias("prefix"), has(s, r"\d").alias("digits"),
+                            s.rlike(f"[{THAI}]").alias("thai")), decide)
+    return let(strip(F.regexp_replace(line, r"^[^:：]*[:：]\s*", "")), describe)
 
 
 def sender_label(line: Column) -> Column:
@@ -384,7 +406,7 @@ def name_without_title(value: Column) -> Column:
     """struct(name, confidence): one leading title removed, bullets dropped."""
     titles = any_of(R.NAME_TITLES)
     bare = F.trim(value)
-    titled = F.rlike(bare, F.lit(f"^(?iu)(?:{titles})"))
-    cut = F.trim(F.regexp_replace(F.regexp_replace(bare, f"^(?iu)(?:{titles})\\s*", ""), r"^[-•*\[\]()]+", ""))
+    titled = F.rlike(bare, F.lit(f"^(?i)(?:{titles})"))
+    cut = F.trim(F.regexp_replace(F.regexp_replace(bare, f"^(?i)(?:{titles})\\s*", ""), r"^[-•*\[\]()]+", ""))
     return F.when(F.coalesce(value, F.lit("")) == "", F.struct(F.lit("").alias("name"), F.lit(0).alias("confidence"))
                   ).otherwise(F.struct(cut.alias("name"), F.when(titled, 99).otherwise(90).alias("confidence")))

@@ -7,10 +7,13 @@ class, so the four escapes are spelled out.
 from __future__ import annotations
 
 DIGIT = "0-9๐-๙"
-WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\x0B\x1C-\x1F\x85\xA0  -     　"
+WORD = r"A-Za-z0-9_\p{L}\p{N}"
+SPACE = r"\p{IsWhite_Space}\x1C-\x1F"
 THAI = "ก-๙"
-EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+# every rule puts its word boundary next to a word character, so one look-around outside is enough; the
+# look-ahead makes most positions fail on a plain class test
+EDGE_BEFORE = f"(?=[A-Za-z{DIGIT}])(?<![{WORD}])"
+EDGE_AFTER = f"(?![{WORD}])"
 
 _CLASSES = {"d": DIGIT, "w": WORD, "s": SPACE}
 
@@ -25,7 +28,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             if nxt in _CLASSES:
                 out.append(_CLASSES[nxt] if in_class else f"[{_CLASSES[nxt]}]")
             elif nxt == "b" and not in_class:
-                out.append(EDGE)
+                out.append(EDGE_BEFORE if not out or out[-1] in ("(", "|", ":") else EDGE_AFTER)
             else:
                 out.append(ch + nxt)
             i += 2
@@ -36,7 +39,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             in_class = False
         out.append(ch)
         i += 1
-    return ("(?iu)" if ignore_case else "") + "".join(out)
+    return ("(?i)" if ignore_case else "") + "".join(out)
 
 
 def quoted(text: str) -> str:
@@ -47,3 +50,25 @@ def quoted(text: str) -> str:
 def any_of(words) -> str:
     """An alternation of literal words."""
     return "|".join(quoted(w) for w in words)
+
+
+def literal_core(pattern: str) -> str:
+    """The longest literal text every match of the pattern contains, '' when there is no safe one."""
+    if "|" in pattern or "(" in pattern or "[" in pattern:
+        return ""
+    runs, i = [""], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        step = 2 if ch == "\\" else 1
+        literal = pattern[i + 1] if ch == "\\" and not pattern[i + 1].isalpha() else ("" if ch in "\\.^$?*+{" else ch)
+        following = pattern[i + step:i + step + 1]
+        if ch == "{":
+            i = pattern.index("}", i) + 1
+            runs.append("")
+            continue
+        if literal and following not in ("?", "*", "+", "{"):
+            runs[-1] += literal
+        else:
+            runs.append("")
+        i += step
+    return max(runs, key=len)

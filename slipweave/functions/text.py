@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from slipweave.functions.regex import SPACE, to_java
+from slipweave.functions.regex import SPACE, literal_core, to_java
 
 _LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 
+_BLANKS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                  0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
 
 def rx(col, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:
     """First match of a rule pattern, NULL (not '') when there is none."""
@@ -18,7 +21,10 @@ def rx_all(col, pattern: str, group: int = 0, ignore_case: bool = False) -> Colu
 
 
 def has(col, pattern: str, ignore_case: bool = False) -> Column:
-    return F.rlike(col, F.lit(to_java(pattern, ignore_case)))
+    """Pattern test; a literal every match must contain is tested first, it is much cheaper."""
+    test = F.rlike(col, F.lit(to_java(pattern, ignore_case)))
+    core = literal_core(pattern)
+    return F.contains(col, F.lit(core)) & test if core and not (ignore_case and core.lower() != core.upper()) else test
 
 
 def sub(col, pattern: str, replacement: str, ignore_case: bool = False) -> Column:
@@ -26,7 +32,7 @@ def sub(col, pattern: str, replacement: str, ignore_case: bool = False) -> Colum
 
 
 def strip(col) -> Column:
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(col, F.lit(_BLANKS))
 
 
 def squeeze(col) -> Column:
@@ -50,6 +56,11 @@ def raw_lines(col) -> Column:
     return F.split(col, _LINE_BREAK)
 
 
+def let(value, fn) -> Column:
+    """``fn(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def first_of(array) -> Column:
     """First non-null element, NULL when there is none."""
     return F.get(F.filter(array, lambda x: x.isNotNull()), F.lit(0))

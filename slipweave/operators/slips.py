@@ -151,7 +151,7 @@ def prefix_parties(line_array: Column) -> Column:
         def of_line(line, i):
             tries = []
             for kw in keys:
-                same = clean(F.regexp_extract(line, f"(?iu){quoted(kw)}\\s*[:\\-]?\\s*(.+)", 1))
+                same = clean(F.regexp_extract(line, f"(?i){quoted(kw)}\\s*[:\\-]?\\s*(.+)", 1))
                 below = clean(F.coalesce(F.get(arr, i + 1), F.lit("")))
                 tries.append(F.when(F.contains(F.lower(line), F.lit(kw)), F.coalesce(
                     F.when(F.length(same) > 3, same),
