@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from slipweave import rules as R
 from slipweave.session import spread
+from slipweave.sources.sinks import stored
 from slipweave.sources.tables import documents, table
 
 _LETTERS = "translate({0}, '0123456789', 'กขคงจชดตนบ')"
@@ -108,9 +109,11 @@ FROM {source} {unnest}
 
 def slip_feed(spark: SparkSession, sf_dir: str, truth: bool = False) -> DataFrame:
     """idx, file_name, file_path, raw_text; with ``truth`` also the values behind the text."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    spread(orders, "o_orderkey").createOrReplaceTempView("slipweave_orders")
-    df = spark.sql(slip_feed_sql("spark", "slipweave_orders"))
+    def build():
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+        spread(orders, "o_orderkey").createOrReplaceTempView("slipweave_orders")
+        return spark.sql(slip_feed_sql("spark", "slipweave_orders"))
+    df = stored(spark, f"slips:{sf_dir}", build)
     return df if truth else df.select("idx", "file_name", "file_path", "raw_text")
 
 

@@ -1,7 +1,7 @@
 """Writers. Every job that writes returns what a reader of the written table sees."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from slipweave.session import shared_dir
 
@@ -12,3 +12,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict = {}
+
+
+def stored(spark, key: str, build) -> DataFrame:
+    """A derived input table, written once per application and shared by all later queries."""
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _STORED:
+        df = build()
+        path = shared_dir(spark)
+        df.write.parquet(path)
+        _STORED[slot] = (path, df.schema)
+    path, schema = _STORED[slot]
+    return spark.read.schema(schema).parquet(path)
