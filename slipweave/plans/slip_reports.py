@@ -9,7 +9,7 @@ from slipweave.operators import match as M
 from slipweave.operators.slips import parse_slips
 from slipweave.plans.registry import query
 from slipweave.sources.feeds import RECEIVERS, slip_feed, thai_name
-from slipweave.sources.sinks import materialize
+from slipweave.sources.sinks import materialize, stored
 from slipweave.sources.tables import table
 
 # the single-target queries ask for the receiver number 7
@@ -22,12 +22,8 @@ def target_name(number: int = 7) -> str:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.fact_rows(parse_slips(slip_feed(spark, sf_dir)))
-
-
-def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed fact table written once, so that several passes do not parse again."""
-    return materialize(facts(spark, sf_dir))
+    """The parsed fact table, written once, so that several passes and reports do not parse again."""
+    return stored(spark, f"facts:{sf_dir}", lambda: M.fact_rows(parse_slips(slip_feed(spark, sf_dir))))
 
 
 # truth of the feed: the columns the rules should arrive at
@@ -56,7 +52,7 @@ def matched(df: DataFrame) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.flag_duplicates(matched(stored_facts(spark, sf_dir)))
+    return M.flag_duplicates(matched(facts(spark, sf_dir)))
 
 
 @query("flt_probable_slip", TRUTH + "SELECT idx AS index, is_slip FROM fp")
@@ -88,7 +84,7 @@ def win_dedup_first(spark, sf_dir):
 , g AS (SELECT *, min(idx) OVER (PARTITION BY fingerprint) AS o FROM fp WHERE fingerprint IS NOT NULL)
 SELECT g.file_name, p.file_name AS original FROM g JOIN g p ON g.o = p.idx WHERE g.idx <> g.o""")
 def join_duplicate_link(spark, sf_dir):
-    every = stored_facts(spark, sf_dir).withColumn("target_matched", F.lit(True))
+    every = facts(spark, sf_dir).withColumn("target_matched", F.lit(True))
     return M.flag_duplicates(every).filter("duplicate").select("file_name", F.col("duplicate_of").alias("original"))
 
 
