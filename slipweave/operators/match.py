@@ -10,6 +10,9 @@ from slipweave.functions.text import (contains_any, date_only, normalize_amount,
 from slipweave.operators.ordered import HOT_ROWS, lookup
 
 
+SHORT_LIST = 500
+
+
 def probable_slip(amount: Column, sender: Column, receiver: Column, bank: Column, raw_text: Column) -> Column:
     party = (normalize_text(sender) != "") | (normalize_text(receiver) != "")
     known = ~normalize_text(bank).isin("", R.UNKNOWN_BANK[1])
@@ -23,14 +26,22 @@ def target_match(target: str, receiver: Column, raw_text: Column) -> Column:
     return F.contains(normalize_for_match(receiver), F.lit(wanted)) | F.contains(normalize_for_match(raw_text), F.lit(wanted))
 
 
-def match_targets(slips: DataFrame, targets: DataFrame, gram: int = 8) -> DataFrame:
+def match_targets(slips: DataFrame, targets: DataFrame, gram: int = 8, short_list: int = SHORT_LIST) -> DataFrame:
     """Every (slip, target) pair whose target occurs in the receiver name or the text.
 
-    An equi-join on text grams replaces the pairwise substring test: each target is represented by its
-    rarest gram, the exact test runs on the pairs that share it.
+    A short target list (checked by count) becomes a constant inside the row and only the hits are
+    unfolded. A longer one is matched by an equi-join on text grams: each target is represented by its
+    rarest gram and the exact test runs on the pairs that share it.
     """
     norm = targets.select("*", normalize_for_match(F.col("target")).alias("_t"))
-    width = min(gram, norm.filter("_t <> ''").agg(F.min(F.length("_t"))).first()[0] or gram)
+    hay = slips.withColumn("_hay", F.concat(normalize_for_match(F.col("receiver_name")), F.lit("\n"),
+                                            normalize_for_match(F.col("raw_text"))))
+    known = [r["_t"] for r in norm.select("_t").distinct().limit(short_list + 1).collect()]
+    if len(known) <= short_list:
+        hits = F.filter(F.array(*[F.lit(t) for t in known]).cast("array<string>"), lambda t: F.contains(F.col("_hay"), t))
+        return hay.withColumn("_t", F.explode(hits)).join(norm, "_t").drop("_hay", "_t")
+
+    width = min(gram, norm.filter("_t <> ''").agg(F.min(F.length("_t"))).first()[0])
 
     def grams(c):
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))),
@@ -38,10 +49,8 @@ def match_targets(slips: DataFrame, targets: DataFrame, gram: int = 8) -> DataFr
     exploded = norm.withColumn("_g", F.explode(F.when(F.col("_t") == "", F.array(F.lit(""))).otherwise(grams(F.col("_t")))))
     counted = exploded.groupBy("_g").agg(F.count("*").alias("_n"))
     chosen = exploded.join(counted, "_g").groupBy(*norm.columns).agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
-    hay = slips.withColumn("_hay", F.concat(normalize_for_match(F.col("receiver_name")), F.lit("\n"),
-                                            normalize_for_match(F.col("raw_text"))))
-    probes = hay.withColumn("_g", F.explode(F.array_union(F.array(F.lit("")), grams(F.col("_hay")))))
-    pairs = probes.join(chosen, "_g").filter(F.contains("_hay", F.col("_t")))
+    probes = F.array_union(F.array(F.lit("")), grams(F.col("_hay")))
+    pairs = hay.withColumn("_g", F.explode(probes)).join(chosen, "_g").filter(F.contains("_hay", F.col("_t")))
     return pairs.drop("_g", "_hay", "_t")
 
 

@@ -21,7 +21,7 @@ def with_neighbours(df: DataFrame, keys: list[str], pos: str, before: int, after
     """Adds ``exprs`` (name -> function of an ordered window) computed from at most ``before`` rows above
     and ``after`` rows below. Positions must be consecutive within the keys."""
     lo, hi = F.floor((F.col(pos) - after) / block), F.floor((F.col(pos) + before) / block)
-    copies = df.withColumn("_blk", F.explode(F.sequence(lo, hi)).cast("bigint"))
+    copies = df.withColumn("_blk", F.explode(F.sequence(lo, hi)))
     w = W.partitionBy(*keys, "_blk").orderBy(pos)
     out = copies.select("*", *[fn(w).alias(name) for name, fn in exprs.items()])
     return out.filter(F.col("_blk") == block_of(pos, block)).drop("_blk")

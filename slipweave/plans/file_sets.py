@@ -148,7 +148,7 @@ def srt_path_ci(spark, sf_dir):
     return feeds.files(spark, sf_dir).select("path", F.lower("path").alias("sort_key")).orderBy("sort_key", "path")
 
 
-@query("srt_natural", FILES + "SELECT name, regexp_extract(lower(name), '^(.*_)', 1) || lpad(regexp_extract(name, '_([0-9]+)[.]', 1), 20, '0') || '.jpg' AS sort_key FROM f")
+@query("srt_natural", FILES + "SELECT name, 'src' || lpad(regexp_extract(lower(name), '^src([0-9]+)_', 1), 20, '0') || '_' || lpad(regexp_extract(name, '_([0-9]+)[.]', 1), 20, '0') || '.jpg' AS sort_key FROM f")
 def srt_natural(spark, sf_dir):
     return feeds.files(spark, sf_dir).select("name", O.natural_key(F.col("name")).alias("sort_key")).orderBy("sort_key", "name")
 

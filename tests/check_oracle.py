@@ -18,7 +18,7 @@ def canon(df):
     for row in df.itertuples(index=False, name=None):
         cells = []
         for v in row:
-            if v is None or v != v or str(v) in ("NaT", "<NA>"):
+            if v is None or str(v) in ("NaT", "<NA>", "nan"):
                 cells.append("~")
             elif hasattr(v, "isoformat"):
                 cells.append(str(v)[:19].replace(" 00:00:00", ""))
