@@ -1,0 +1,34 @@
+"""Ordered folds that depend on accumulated state.
+
+Spark partitions by the keys and sorts; each task streams its sorted rows in Arrow batches through a small
+state object, so memory stays constant however long a group is.
+"""
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], make_state, schema: str) -> DataFrame:
+    """``make_state(key values)`` returns an object with ``push(row) -> rows`` and ``finish() -> rows``;
+    rows are tuples in ``schema`` order."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    if state is not None:
+                        out.extend(state.finish())
+                    current, state = key, make_state(*key)
+                out.extend(state.push(row))
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if state is not None:
+            rest = list(state.finish())
+            if rest:
+                yield pd.DataFrame(rest, columns=columns)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
