@@ -122,7 +122,7 @@ def clock_part(col) -> Column:
 def calendar_part(col) -> Column:
     clock = clock_part(col)
     rest = F.trim(F.regexp_replace(F.replace(col, clock, F.lit("")), r"\s*/\s*", " "))
-    return F.when(col == "-", F.lit("-")).otherwise(F.coalesce(F.nullif(rest, F.lit("")), col))
+    return F.when((col == "-") | (clock == "-"), col).otherwise(F.coalesce(F.nullif(rest, F.lit("")), col))
 
 
 def combine_datetime(date_col, time_col) -> Column:

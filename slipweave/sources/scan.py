@@ -26,16 +26,17 @@ def read_name_list(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(lines(F.col("value"))).alias("pos", "line"))
 
 
-AUDIT_SCHEMA = """summary STRUCT<scanned_files: BIGINT>, results ARRAY<STRUCT<file_name: STRING, file_path: STRING, file_hash: STRING,
+AUDIT_SCHEMA = """summary STRUCT<scanned_files: BIGINT, document_no: BIGINT>, results ARRAY<STRUCT<file_name: STRING, file_path: STRING, file_hash: STRING,
  raw_text: STRING, is_slip: BOOLEAN, transaction_date: STRING, transaction_time: STRING, sender_bank: STRING, sender_name: STRING,
  sender_account: STRING, receiver_bank: STRING, receiver_name: STRING, receiver_account: STRING, amount: DOUBLE, currency: STRING,
  transaction_id: STRING, memo: STRING, bank_name: STRING, review_reason: STRING, error: STRING>>"""
 
 
 def read_audit(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Audit files {summary, results[]} as one row per result object with its index in the file."""
+    """Audit files {summary, results[]} as one row per result object. The index follows the
+    order in the file, and the document number where an audit is split into several documents."""
     audits = spark.read.schema(AUDIT_SCHEMA).option("multiLine", str(multi_line).lower()).json(path)
-    rows = audits.select(F.posexplode("results").alias("pos", "r")).filter(F.col("r").isNotNull())
-    return rows.select((F.col("pos") + 1).cast("bigint").alias("index"), "r.*").withColumn(
+    rows = audits.select(F.coalesce("summary.document_no", F.lit(0)).alias("doc"), F.posexplode("results").alias("pos", "r")).filter(F.col("r").isNotNull())
+    return rows.select((F.col("doc") * 1_000_000 + F.col("pos") + 1).cast("bigint").alias("index"), "r.*").withColumn(
         "file_name", F.coalesce("file_name", F.nullif(F.regexp_extract("file_path", r"([^/]+)$", 1), F.lit("")),
                                 F.concat(F.lit("record-"), F.col("index").cast("string"))))

@@ -1,8 +1,12 @@
 """Writers. Every job that writes returns what a reader of the written table sees."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 
+from slipweave import rules as R
+from slipweave.functions.text import combine_datetime
+from slipweave.operators.ordered import with_ordinal
 from slipweave.session import shared_dir
 
 
@@ -27,3 +31,43 @@ def stored(spark, key: str, build) -> DataFrame:
         _STORED[slot] = (path, df.schema)
     path, schema = _STORED[slot]
     return spark.read.schema(schema).parquet(path)
+
+
+def write_audit(facts: DataFrame, summary: DataFrame, path: str) -> None:
+    """Audit rows as JSON lines and the summary as its own one-row file."""
+    facts.write.mode("overwrite").json(f"{path}/results")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+
+
+def write_audit_documents(facts: DataFrame, path: str, per_document: int = 1000) -> None:
+    """Audit files in the nested form {summary, results[]}: one JSON document per block of rows, so no
+    document grows with the table."""
+    block = F.expr(f"index div {per_document}")
+    docs = facts.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("index", F.struct(
+        *[c for c in facts.columns if c != "index"]).alias("r")))).alias("rows"))
+    payload = F.to_json(F.struct(F.struct(F.size("rows").cast("bigint").alias("scanned_files"), F.col("block").alias("document_no")).alias("summary"),
+                                 F.transform("rows", lambda x: x["r"]).alias("results")))
+    docs.select(payload.alias("value")).write.mode("overwrite").text(path)
+
+
+def append_records(df: DataFrame, path: str, case_number: str = R.DEFAULT_CASE_NUMBER) -> None:
+    """Appends evidence rows with ids that continue the table, defaults for missing values and the time."""
+    spark = df.sparkSession
+    try:
+        last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
+    except AnalysisException:
+        last = 0
+    n = with_ordinal(df, "index", "_n")
+
+    def known(c):
+        return F.coalesce(F.col(c), F.lit("UNKNOWN")).alias(c)
+    n.select((F.col("_n") + F.lit(last)).alias("id"), F.lit(case_number).alias("case_number"), known("bank_name"),
+             combine_datetime(F.col("transaction_date").cast("string"), F.col("transaction_time")).alias("transaction_date"),
+             F.col("transaction_time"), known("transaction_id"), known("sender_name"), known("receiver_name"),
+             F.coalesce("amount", F.lit(0.0)).alias("amount"), F.current_timestamp().alias("created_at")).write.mode("append").parquet(path)
+
+
+def write_ledger_pages(ledger: DataFrame, path: str, pages_per_folder: int = 10_000) -> None:
+    """Ledger rows by page. Folders hold a range of pages: one folder per page of 20 rows would be more
+    folders than a file system takes."""
+    ledger.withColumn("page_folder", F.expr(f"page_no div {pages_per_folder}")).write.mode("overwrite").partitionBy("page_folder").parquet(path)
