@@ -69,29 +69,24 @@ def bank_last_group(text: Column) -> Column:
 # ---- amounts ----------------------------------------------------------------------------------
 
 def amount_value(token: Column) -> Column:
-    """A number token as an amount; NULL for more than nine integer digits, non-numbers and values
+    """A number token as an amount; NULL for more than nine integer digits, non-numbers, zero and values
     beyond the limit."""
-    plain = ascii_digits(F.replace(token, F.lit(","), F.lit("")))
-    value = plain.try_cast("double")
-    ok = (F.length(F.regexp_extract(plain, r"^\d*", 0)) <= 9) & value.between(0, R.AMOUNT_MAX)
-    return F.when(ok, value)
-
-
-def _positive(token: Column) -> Column:
-    value = amount_value(token)
-    return F.when(value > 0, value)
+    def check(plain):
+        short = F.length(F.regexp_extract(plain, r"^\d*", 0)) <= 9
+        return F.when(short, let(plain.try_cast("double"), lambda v: F.when((v > 0) & (v <= R.AMOUNT_MAX), v)))
+    return let(ascii_digits(F.replace(token, F.lit(","), F.lit(""))), check)
 
 
 def amount_cascade(text: Column, line_array: Column) -> Column:
     """Labelled or two-decimal number of the first line that has one, then the text patterns, then the
     largest two-decimal number that is not a year."""
     def of_line(line):
-        found = F.coalesce(_positive(rx(line, R.AMOUNT_LABELLED, 1, True)), _positive(rx(line, R.AMOUNT_DECIMAL, 1)))
+        found = F.coalesce(amount_value(rx(line, R.AMOUNT_LABELLED, 1, True)), amount_value(rx(line, R.AMOUNT_DECIMAL, 1)))
         return F.when(has(line, r"\d") & ~has(line, R.AMOUNT_SKIP_LINE, True), found)
 
     by_line = first_of(F.transform(line_array, of_line))
-    by_pattern = [first_of(F.transform(rx_all(text, p, 1, True), _positive)) for p in R.AMOUNT_PATTERNS]
-    largest = F.array_max(F.filter(F.transform(rx_all(text, r"[\d,]+\.\d{2}"), _positive),
+    by_pattern = [first_of(F.transform(rx_all(text, p, 1, True), amount_value)) for p in R.AMOUNT_PATTERNS]
+    largest = F.array_max(F.filter(F.transform(rx_all(text, r"[\d,]+\.\d{2}"), amount_value),
                                    lambda v: v.isNotNull() & ~v.between(2000, 2100)))
     return F.coalesce(by_line, *by_pattern, largest)
 
@@ -382,18 +377,18 @@ def name_of_line(line: Column) -> Column:
                                       let(strip(rx(s, R.THAI_NAME)), plain), clean_merchant(s))))
 
     def describe(s):
-        return let(F.struct(s.alias("s"), has(s, R.PERSON_PREFIX).alias("prefix"), has(s, r"\d").alias("digits"),
+        return let(F.struct(s.alias("s"), contains_any(s, R.PERSON_PREFIXES).alias("prefix"), has(s, r"\d").alias("digits"),
                             s.rlike(f"[{THAI}]").alias("thai")), decide)
     return let(strip(F.regexp_replace(line, r"^[^:：]*[:：]\s*", "")), describe)
 
 
 def sender_label(line: Column) -> Column:
-    return F.rlike(F.lower(line), F.lit(any_of(R.SENDER_LABELS)))
+    return let(F.lower(line), lambda low: contains_any(low, R.SENDER_LABELS))
 
 
 def receiver_label(line: Column) -> Column:
-    low = F.lower(line)
-    return F.rlike(low, F.lit(any_of(R.RECEIVER_LABELS))) | has(low, R.RECEIVER_WORD)
+    return let(F.lower(line), lambda low: contains_any(low, R.RECEIVER_LABELS)
+               | (F.contains(low, F.lit("to")) & has(low, R.RECEIVER_WORD)))
 
 
 def is_merchant_payment(text: Column, receiver: Column) -> Column:

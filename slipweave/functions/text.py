@@ -13,7 +13,7 @@ _BLANKS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85,
 
 def rx(col, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:
     """First match of a rule pattern, NULL (not '') when there is none."""
-    return F.nullif(F.regexp_extract(col, to_java(pattern, ignore_case), group), F.lit(""))
+    return let(F.regexp_extract(col, to_java(pattern, ignore_case), group), lambda found: F.when(found != "", found))
 
 
 def rx_all(col, pattern: str, group: int = 0, ignore_case: bool = False) -> Column:
