@@ -49,14 +49,14 @@ def ext_amount_cascade(spark, sf_dir):
     return feed(spark, sf_dir).select("idx", X.amount_cascade(F.col("raw_text"), F.col("lines")).alias("amount"))
 
 
-@query("ext_amount_labelled_max", """SELECT idx, CASE WHEN t_empty THEN 0.0 WHEN t_amount_labelled THEN t_amount
+@query("ext_amount_labelled_max", """SELECT idx, CASE WHEN t_empty THEN 0.0 WHEN t_amount_labelled AND t_amount NOT BETWEEN 2000 AND 2100 THEN t_amount
   ELSE CAST(t_ref_digits AS DOUBLE) END AS amount FROM @FEED""")
 def ext_amount_labelled_max(spark, sf_dir):
     return feed(spark, sf_dir).select("idx", X.amount_near_label(F.col("lines")).alias("amount"))
 
 
-@query("srt_top_candidate", """SELECT idx, CASE WHEN t_amount_labelled THEN 10 ELSE 1 END AS priority,
-  CASE WHEN t_amount_labelled THEN t_amount ELSE CAST(t_ref_digits AS DOUBLE) END AS value FROM @FEED WHERE NOT t_empty""")
+@query("srt_top_candidate", """SELECT idx, CASE WHEN t_amount_labelled AND t_amount NOT BETWEEN 2000 AND 2100 THEN 10 ELSE 1 END AS priority,
+  CASE WHEN t_amount_labelled AND t_amount NOT BETWEEN 2000 AND 2100 THEN t_amount ELSE CAST(t_ref_digits AS DOUBLE) END AS value FROM @FEED WHERE NOT t_empty""")
 def srt_top_candidate(spark, sf_dir):
     """Best (priority, value) per slip, from a table of candidates."""
     from slipweave.functions.text import contains_any, rx_all
