@@ -39,15 +39,15 @@ def with_parties(df: DataFrame) -> DataFrame:
         .alias("_late_cue"))
 
     # sender by position: first unlabelled name with an account on it or on the two lines below
-    inferred = labelled.withColumn("_q", first_where("_l", lambda x: x["name"].isNotNull() & ~x["r"] & F.coalesce(
-        x["acc"], x["acc_below"]).isNotNull()))
+    inferred = labelled.withColumn("_q", F.when(F.col("_sn").isNull() | F.col("_sa").isNull(), first_where(
+        "_l", lambda x: x["name"].isNotNull() & ~x["r"] & F.coalesce(x["acc"], x["acc_below"]).isNotNull())))
     sender = inferred.select(
         "*", F.coalesce("_sn", F.col("_q.name")).alias("sender_name"),
         F.coalesce("_sa", F.coalesce("_q.acc", "_q.acc_below")).alias("sender_account"))
 
     # receiver below the first receiver cue
-    section = sender.withColumn("_sec", F.filter("_l", lambda x: (x["i"] > F.col("_cue")) & ~x["r"]
-                                                 & ~x["line"].isin(R.SEPARATOR_LINES)))
+    section = sender.withColumn("_sec", F.when(F.col("_rn").isNull() | F.col("_ra").isNull(), F.filter(
+        "_l", lambda x: (x["i"] > F.col("_cue")) & ~x["r"] & ~x["line"].isin(R.SEPARATOR_LINES))))
     named = section.withColumn("_k", F.when(F.col("_rn").isNull(), first_where("_sec", lambda x: x["name"].isNotNull())))
     cued = named.select(
         "*", F.coalesce("_rn", "_k.name").alias("_rn3"),
