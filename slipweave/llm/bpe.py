@@ -202,7 +202,8 @@ def _over_texts(docs: DataFrame, path: str, doc_id: str, text: str, fields: str,
 
     given = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"))
     schema = f"doc_id {dict(given.dtypes)['doc_id']}, {fields}"
-    names = [f.split(" ")[0] for f in fields.split(", ")]
+    names, kinds = zip(*[f.split(" ") for f in fields.split(", ")], strict=True)
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches: Iterator) -> Iterator:
         gc.disable()  # nothing here forms cycles, and the cache holds millions of small objects
@@ -214,7 +215,7 @@ def _over_texts(docs: DataFrame, path: str, doc_id: str, text: str, fields: str,
                 texts = [cut(data[offsets[i]:offsets[i + 1]].decode()) for i in range(lo, hi)]
                 known.fill(texts)
                 columns = list(zip(*[row_of(list(map(known.__getitem__, pieces))) for pieces in texts], strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, columns)], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(c, arrow[k]) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
     return given.mapInArrow(run, schema)
 
 

@@ -73,8 +73,8 @@ def trigram_counts(texts: DataFrame, languages: tuple[str, ...]) -> DataFrame:
 def text_model(counts: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """Log-probabilities, languages by buckets: a table of fixed size."""
     table = np.full((len(languages), BUCKETS), ALPHA)
-    for r in counts.toLocalIterator():
-        table[languages.index(r["lang"]), r["bucket"]] += r["n"]
+    for lang, bucket, n in counts.select("lang", "bucket", "n").collect():
+        table[languages.index(lang), bucket] += n
     return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
