@@ -1,7 +1,10 @@
 """Session settings and cluster-aware helpers."""
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +17,31 @@ ADAPTIVE = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so Python functions run there without an installation."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="slipweave-"), "slipweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(path)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every job of the library relies on."""
+    """Runtime settings and code every job of the library relies on."""
     for key, value in ADAPTIVE.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -30,16 +54,8 @@ def build(app: str = "slipweave", master: str | None = None, cores: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    A machine-local folder is used only when no shared folder is configured and the session is local.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="slipweave-")
-    import uuid
+    """A new folder below spark.checkpoint.dir; only where that is unset, below the warehouse, which executors share as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
