@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot keys at any size.
 HOT_SHARE = 512
 #: Bytes of text that one Arrow function works on at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slipweave.llm.common import attach, buffer_of, chunks, column, documents, stored
+from slipweave.llm.common import attach, buffer_of, column, documents, stored
 from slipweave.llm.registry import query
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -34,22 +34,25 @@ MIN_CONFIDENCE = 0.5
 #: Country suffixes and their language: fixed values.
 SUFFIXES = {"at": "de", "au": "en", "be": "fr", "ch": "de", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en",
             "mx": "es", "nz": "en", "pe": "es", "uk": "en", "us": "en"}
+#: Bytes of text whose trigrams are made at a time.
+PART = 1 << 20
 #: Soft counts are summed as whole millionths, so sums do not depend on order.
 UNIT = 1_000_000
 #: ASCII letters in lower case; other ASCII is a blank; bytes of other characters stay.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
 
 
-def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the trigrams of folded bytes that hold a letter in the middle or at both ends, and their row numbers."""
-    folded = FOLD[data].astype(np.uint32)
-    if len(folded) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, c = folded[:-2], folded[1:-1], folded[2:]
-    bucket = ((a * np.uint32(2654435761) + b * np.uint32(40503) + c * np.uint32(2246822519)) >> np.uint32(7)) % np.uint32(BUCKETS)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    good = (row[:-2] == row[2:]) & ((b != 32) | ((a != 32) & (c != 32)))
-    return bucket[good].astype(np.int64), row[:-2][good]
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the trigrams of folded bytes that hold a letter in the middle or at both ends, and their row numbers, in parts of bounded size."""
+    for lo in range(0, len(data) - 2, PART):
+        folded = FOLD[data[lo:lo + PART + 2]].astype(np.uint32)
+        a, b, c = folded[:-2], folded[1:-1], folded[2:]
+        bucket = ((a * np.uint32(2654435761) + b * np.uint32(40503) + c * np.uint32(2246822519)) >> np.uint32(7)) % np.uint32(BUCKETS)
+        first, last = (int(x) for x in np.searchsorted(offsets, [lo, lo + len(folded)], side="right") - 1)
+        ends = np.clip(offsets[first:last + 2], lo, lo + len(folded)) - lo
+        row = np.repeat(np.arange(first, first + len(ends) - 1), np.diff(ends))
+        good = (row[:-2] == row[2:]) & ((b != 32) | ((a != 32) & (c != 32)))
+        yield bucket[good].astype(np.int64), row[:-2][good]
 
 
 def trigram_counts(texts: DataFrame, languages: tuple[str, ...]) -> DataFrame:
@@ -61,9 +64,8 @@ def trigram_counts(texts: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         for batch in batches:
             data, offsets = buffer_of(batch.column(1))
             lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
-            for lo, hi in chunks(offsets):
-                bucket, row = trigrams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                table += np.bincount(lang[lo + row] * BUCKETS + bucket, minlength=table.size).reshape(table.shape)
+            for bucket, row in trigrams(data, offsets):
+                table += np.bincount(lang[row] * BUCKETS + bucket, minlength=table.size).reshape(table.shape)
         lang, bucket = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array([languages[i] for i in lang], pa.string()), pa.array(bucket), pa.array(table[lang, bucket])], names=["lang", "bucket", "n"])
     known = texts.filter(F.col("lang").isin(*languages)).select("lang", "text")
@@ -85,14 +87,15 @@ def text_likelihoods(texts: DataFrame, model: np.ndarray) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             data, offsets = buffer_of(batch.column(3))
-            for lo, hi in chunks(offsets):
-                bucket, row = trigrams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                n = np.bincount(row, minlength=hi - lo)
-                sums = np.stack([np.bincount(row, weights=logp[bucket], minlength=hi - lo) for logp in model], axis=1)
-                sums *= np.minimum(1.0, TEMPER / np.maximum(n, 1))[:, None]
-                ll = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * len(model), len(model), dtype=np.int32)), pa.array(np.round(sums, 6).ravel()))
-                rest = [batch.column(k).slice(lo, hi - lo) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*rest, ll, pa.array(n)], names=["id", "declared", "host", "ll", "n_grams"])
+            rows = len(batch)
+            n, sums = np.zeros(rows, np.int64), np.zeros((rows, len(model)))
+            for bucket, row in trigrams(data, offsets):
+                n += np.bincount(row, minlength=rows)
+                for k, logp in enumerate(model):
+                    sums[:, k] += np.bincount(row, weights=logp[bucket], minlength=rows)
+            sums *= np.minimum(1.0, TEMPER / np.maximum(n, 1))[:, None]
+            ll = pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * len(model), len(model), dtype=np.int32)), pa.array(np.round(sums, 6).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ll, pa.array(n)], names=["id", "declared", "host", "ll", "n_grams"])
     kinds = dict(texts.dtypes)
     return texts.mapInArrow(run, f"id {kinds['id']}, declared string, host string, ll array<double>, n_grams bigint")
 
