@@ -5,7 +5,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["mixing", "simhash", "bpe", "bloom_dedup", "token_counts", "language", "run_index"]
+MODULES = ["mixing", "simhash", "bpe", "bloom_dedup", "token_counts", "language", "run_index", "divergence", "line_winnowing", "surrogates"]
 
 
 def query(name: str, oracle: str | None = None):
