@@ -163,7 +163,7 @@ def _ball(radius: int) -> int:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable, for every node of the edges (a, b). Alternates large-star and small-star over stored tables."""
+    """(node, root): the least node reachable, for every node of the edges (a, b) but the least ones. Alternates large-star and small-star over stored tables."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges, before = stored(edges.filter("a < b").select("a", "b").distinct()), None
     while True:
