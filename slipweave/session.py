@@ -45,8 +45,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build(app: str = "slipweave", master: str | None = None, cores: int = 8) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+def build(app: str = "slipweave", master: str | None = None, cores: int = 8, conf: dict[str, str] | None = None) -> SparkSession:
+    builder = SparkSession.builder.appName(app).config(map=conf or {})
     if master:
         builder = (builder.master(master).config("spark.ui.enabled", "false")
                    .config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", str(cores)))

@@ -9,8 +9,9 @@ from slipweave import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session.build("slipweave-tests", "local[8]", 8)
+def spark(tmp_path_factory):
+    root = tmp_path_factory.mktemp("spark")
+    s = session.build("slipweave-tests", "local[8]", 8, {"spark.checkpoint.dir": f"{root}/checkpoints", "spark.sql.warehouse.dir": f"{root}/warehouse"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
