@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from slipweave.functions.text import let
 from slipweave.llm.common import attach, buffer_of, column, documents, stored
 from slipweave.llm.registry import query
 
@@ -101,9 +102,10 @@ def text_likelihoods(texts: DataFrame, model: np.ndarray) -> DataFrame:
 
 
 def _soft(ll: Column) -> Column:
-    """Probabilities of an array of log values."""
-    e = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    """Probabilities of an array of log values; the array is evaluated once."""
+    def scaled(v: Column) -> Column:
+        return F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return let(ll, lambda v: let(scaled(v), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda t: F.transform(e, lambda x: x / t))))
 
 
 def _units(p: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A byte goes when it is covered by a string of ``length`` bytes that starts at a second place as well.
 
-1. Anchors. Every window of ``length`` bytes is assigned to the 16-byte gram in it with the least hash (the leftmost one of equals), so equal
+1. Anchors. Every window of ``length`` bytes is assigned to the 48-byte gram in it with the least hash (the leftmost one of equals), so equal
    windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a segment. Only (gram hash, segment hash) of segments
    is shuffled. Segments that occur twice are repeated as a whole. Those that occur once, under a gram that occurs with other segments
    too, are open: parts of them may be repeated.
@@ -10,8 +10,9 @@ A byte goes when it is covered by a string of ``length`` bytes that starts at a
    BLOCK_BYTES and builds a run-compressed Burrows-Wheeler transform with the suffix positions at the ends of its runs. The longest
    match of a suffix with its neighbours in suffix order is compared only at run ends and loses one byte per step inside a run, so matching
    statistics stream over the text from the sampled positions. Positions with statistics of ``length`` or more are marked.
-3. Crowded grams, with more than CROWD different segments, are not collected in a task: the hashes of their single windows are counted with
-   map-side aggregation instead, an exact way that needs no index.
+3. Crowded grams, with more than CROWD different segments, are not collected in a task. Their segments are cut into pieces of STEPS windows,
+   aligned at the gram, with a core of bytes that all windows of a piece hold. Pieces whose core is unique are dropped, groups of equal pieces are
+   repeated as a whole, and the rest is cut finer, down to single windows: an exact way by grouped counts alone.
 
 Equal (gram, segment) hashes of 64 bits each count as equal strings. Null counts as empty; a text shorter than ``length`` has nothing to
 remove; matches never cross documents. Rows are identified by (doc_id, hash of the text): rows that repeat both are one place each, so such a
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from slipweave.llm.common import attach, buffer_of, chunks, column, documents, stored
 from slipweave.llm.registry import query
 
-LENGTH, GRAM = 400, 16
+LENGTH, GRAM = 400, 48
 #: Bytes that one index is built over, and the different segments of a gram that are still indexed.
 BLOCK_BYTES, CROWD = 1 << 19, 512
+#: Windows in the pieces that crowded segments are cut into, one cut after the other.
+STEPS = (64, 8, 1)
 #: Positions of a text looked at together.
 REACH = 1 << 20
 SEPARATOR = 0xFF
@@ -45,8 +48,12 @@ def _loads(data: np.ndarray) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from every position on."""
     x = _loads(data)
-    h = x[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (x[8:] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(3))
-    h ^= h >> np.uint64(29)
+    n = len(x) - (GRAM - 8)
+    h = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        h ^= x[k:k + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
 
@@ -63,7 +70,7 @@ def _least(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, first window, number of windows, gram hash) of the segments of the rows' texts, in parts."""
+    """(row, first window, number of windows, gram hash, place of the gram in the first window) of the segments of the rows' texts, in parts."""
     n, w = len(data), length - GRAM + 1
     row_end = np.repeat(offsets[1:], np.diff(offsets)) if len(offsets) > 2 else None
     for lo in range(0, n - length + 1, REACH):
@@ -84,11 +91,11 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tup
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(start)))
         row = np.searchsorted(offsets, start[first], side="right") - 1
-        yield row, start[first] - offsets[row], count, h[at[first]]
+        yield row, start[first] - offsets[row], count, h[at[first]], at[first] + lo - start[first]
 
 
 def segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, h, start, windows, gram, body): the segments of texts (doc, h, text)."""
+    """(doc, h, start, windows, lead, gram, body): the segments of texts (doc, h, text); lead is the place of the gram in the segment."""
     import pyarrow as pa
     import xxhash
 
@@ -97,15 +104,15 @@ def segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             data, offsets = buffer_of(batch.column(2))
             whole = memoryview(np.ascontiguousarray(data))
             parts = ((top, x) for top, end in chunks(offsets, REACH) for x in anchored(data[offsets[top]:offsets[end]], offsets[top:end + 1] - offsets[top], length))
-            for top, (row, start, count, gram) in parts:
+            for top, (row, start, count, gram, lead) in parts:
                 row = row + top
                 lo = (offsets[row] + start).tolist()
                 hi = (offsets[row] + start + count + length - 1).tolist()
                 body = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(lo, hi, strict=True)], dtype=np.uint64)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(count),
-                                                  pa.array(gram.view(np.int64)), pa.array(body.view(np.int64))], names=["doc", "h", "start", "windows", "gram", "body"])
-    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, h bigint, start bigint, windows bigint, gram bigint, body bigint")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(count), pa.array(lead),
+                                                  pa.array(gram.view(np.int64)), pa.array(body.view(np.int64))], names=["doc", "h", "start", "windows", "lead", "gram", "body"])
+    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, h bigint, start bigint, windows bigint, lead bigint, gram bigint, body bigint")
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -232,34 +239,56 @@ def indexed(rows: DataFrame, length: int, block: int = BLOCK_BYTES) -> DataFrame
             .mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, h bigint, start bigint, stop bigint"))
 
 
-def counted(rows: DataFrame, length: int) -> DataFrame:
-    """The same for crowded grams, by counting window hashes; no gram's rows meet in one task."""
+def pieces(rows: DataFrame, length: int, step: int) -> DataFrame:
+    """(doc, h, start, windows, lead, gram, bytes, core, body): rows cut into pieces whose windows have the gram at the same place up to ``step``;
+    core is a hash of the bytes that all windows of such a piece hold, and of its place; body one of all its bytes."""
     import pyarrow as pa
     import xxhash
 
+    kinds = dict(rows.dtypes)
+
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            take, place, hashes = [], [], []
-            for i, body in enumerate(batch.column(3).to_pylist()):
-                view = memoryview(body)
-                n = len(body) - length + 1
-                take += [i] * n
-                place += range(n)
-                hashes += [xxhash.xxh3_64_intdigest(view[k:k + length]) for k in range(n)]
+            take, out = [], []
+            starts, windows, leads, grams, bodies = (batch.column(k).to_pylist() for k in range(2, 7))
+            for i, (start, n, lead, gram, body) in enumerate(zip(starts, windows, leads, grams, bodies, strict=True)):
+                last = lead - n + 1
+                for k in range(last // step, lead // step + 1):
+                    top, low = min(lead, step * k + step - 1), max(last, step * k)
+                    a, m = lead - top, top - low + 1
+                    part = body[a:a + m + length - 1]
+                    core = body[lead - step * k:lead - step * k - step + 1 + length]
+                    take.append(i)
+                    out.append((start + a, m, top, gram, part, xxhash.xxh3_64_intdigest(core, seed=(gram + k) % (1 << 64)) - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             take = pa.array(take, pa.int64())
-            start = np.array(batch.column(2).take(take), dtype=np.int64) + np.array(place, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(np.array(hashes, np.uint64).view(np.int64))],
-                                             names=["doc", "h", "start", "w"])
-    windows = stored(rows.select("doc", "h", "start", "bytes").mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, h bigint, start bigint, w bigint"))
-    twice = stored(windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"))
-    return attach(windows, twice, ["w"], "n", windows.count()).filter("n is not null").select("doc", "h", "start", (F.col("start") + length).alias("stop"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns, types)],
+                                             names=["doc", "h", "start", "windows", "lead", "gram", "bytes", "core", "body"])
+    return rows.select("doc", "h", "start", "windows", "lead", "gram", "bytes").mapInArrow(
+        run, f"doc {kinds['doc']}, h bigint, start bigint, windows bigint, lead bigint, gram bigint, bytes binary, core bigint, body bigint")
+
+
+def refined(rows: DataFrame, length: int) -> DataFrame:
+    """(doc, h, start, stop): the same for crowded grams, by ever smaller pieces; no gram's rows meet in one task."""
+    found = []
+    for step in STEPS:
+        cut = stored(pieces(rows, length, step))
+        shared = stored(cut.groupBy("core").agg(F.count("*").alias("n"), (F.min("body") != F.max("body")).alias("mixed")).filter("n > 1"))
+        met = attach(cut, shared, ["core"], "n", cut.count()).filter("n is not null")
+        found.append(met.filter("not mixed").select("doc", "h", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop")))
+        rows = met.filter("mixed")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def with_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(gram, doc, h, start, bytes, kinds) of wanted segments (doc, h, start, windows, gram, kinds); each text is taken once."""
-    lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "windows", "gram", "kinds")).alias("list"))
+    """(gram, doc, h, start, windows, lead, bytes, kinds) of wanted segments, which come without bytes; each text is taken once."""
+    lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "windows", "lead", "gram", "kinds")).alias("list"))
     once = texts.alias("t").join(lists.alias("l"), F.expr("t.h = l.h and t.doc <=> l.doc")).select("t.doc", "t.h", F.encode("t.text", "utf-8").alias("text"), F.explode("l.list").alias("s"))
-    return once.select("s.gram", "doc", "h", "s.start", F.substring("text", (F.col("s.start") + 1).cast("int"), (F.col("s.windows") + length - 1).cast("int")).alias("bytes"), "s.kinds")
+    return once.select("s.gram", "doc", "h", "s.start", "s.windows", "s.lead", F.substring("text", (F.col("s.start") + 1).cast("int"), (F.col("s.windows") + length - 1).cast("int")).alias("bytes"), "s.kinds")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, block: int = BLOCK_BYTES) -> DataFrame:
@@ -270,18 +299,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     grams = stored(cut.groupBy("gram").agg(F.count("*").alias("n"), (F.min("body") != F.max("body")).alias("mixed")).filter("n > 1"))
     shared = stored(attach(cut, grams, ["gram"], "n", total).filter("n is not null").drop("n"))
     bodies = stored(shared.groupBy("gram", "body").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min_by(
-        F.struct("doc", "h", "start", "windows"), F.xxhash64("doc", "h", "start")).alias("one")))
+        F.struct("doc", "h", "start", "windows", "lead"), F.xxhash64("doc", "h", "start")).alias("one")))
     # whole segments that are repeated
     many = stored(bodies.filter("n > 1").select("gram", "body", "n"))
-    whole = (attach(shared.drop("mixed"), many, ["gram", "body"], "n", total).filter("n is not null")
+    whole = (attach(shared.drop("mixed", "lead"), many, ["gram", "body"], "n", total).filter("n is not null")
              .select("doc", "h", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop")))
     # different segments under one gram
     mixed = stored(bodies.filter("mixed").groupBy("gram").agg(F.count("*").alias("kinds")))
     met = attach(bodies.filter("mixed").select("gram", "one"), mixed, ["gram"], "kinds", total)
-    fetched = stored(with_bytes(texts, met.select("one.doc", "one.h", "one.start", "one.windows", "gram", "kinds"), length))
+    fetched = stored(with_bytes(texts, met.select("one.*", "gram", "kinds"), length))
     spans = whole.unionByName(indexed(fetched.filter(F.col("kinds") <= crowd), length, block))
     if not mixed.filter(F.col("kinds") > crowd).isEmpty():
-        spans = spans.unionByName(counted(fetched.filter(F.col("kinds") > crowd), length))
+        spans = spans.unionByName(refined(fetched.filter(F.col("kinds") > crowd), length))
     return spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 

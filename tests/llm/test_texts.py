@@ -85,7 +85,7 @@ def test_base_rules_and_divergence(spark, sf_dir):
     rows = [(d, t, x) for d, t, x, _ in brute.documents(spark, sf_dir)]
     noise = [(9000 + i, "%%$$ ##@@ " * 40 + " ".join(f"{i}{k}&&" for k in range(60)), "en") for i in range(3)]
     edges = [(8000 + i, r[1], r[2]) for i, r in enumerate(brute.edge_rows())]
-    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows + noise + edges, "doc_id bigint, text string, lang string")).collect()}
+    got = {r.doc_id: r for part in (rows + noise, edges) for r in divergence.judge(spark.createDataFrame(part, "doc_id bigint, text string, lang string")).collect()}
     for d, t, _ in rows + noise + edges:
         n, chars, symbols, dup, repeat = brute.base_counts(t)
         r = got[d]
