@@ -87,10 +87,38 @@ def normalize_for_match(col) -> Column:
     return F.lower(normalize_text(col))
 
 
+def two_decimals(value) -> Column:
+    """A DOUBLE with two decimals: its exact binary value is rounded, exact halves to the even digit.
+
+    The fraction is taken in steps of 2**-55, or of 2**-59 below 1/8, whose hundredfold fits a BIGINT; what is below a step counts too.
+    """
+    def finish(whole, scale, steps, down):
+        below = (steps - down) * 100
+
+        def rounded(hundred):
+            def up(rest, cents):
+                half = F.shiftright(scale, 1)
+                tie = (rest == half) & ((below > F.floor(below)) | (F.pmod(cents, F.lit(2)) == 1))
+                return cents + ((rest > half) | tie).cast("int")
+            return let(F.pmod(hundred, scale), lambda rest: let(whole * 100 + ((hundred - rest) / scale).cast("bigint"), lambda cents: up(rest, cents)))
+        return let(down * 100 + F.floor(below), rounded)
+
+    def cents_of(size):
+        small = size < 0.125
+        bits, scale = F.when(small, F.lit(59)).otherwise(F.lit(55)), F.when(small, F.lit(1 << 59)).otherwise(F.lit(1 << 55)).cast("bigint")
+        return let(F.floor(size), lambda whole: let((size - whole) * F.pow(F.lit(2.0), bits), lambda steps: let(F.floor(steps), lambda down: finish(whole, scale, steps, down))))
+
+    def shown(cents):
+        return F.concat(((cents - F.pmod(cents, F.lit(100))) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+    sign = F.when(value < 0, "-").otherwise("")
+    return let(F.abs(value), lambda size: F.when(size < 1e13, F.concat(sign, let(cents_of(size), shown))).when(F.isnan(size), "nan")
+               .when(size == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.format_string("%.2f", value)))
+
+
 def normalize_amount(col) -> Column:
     """Two decimals as text, '' when it is not a number."""
     value = col.try_cast("double")
-    return F.when(value.isNotNull(), F.format_string("%.2f", value)).otherwise(F.lit(""))
+    return F.when(value.isNotNull(), two_decimals(value)).otherwise(F.lit(""))
 
 
 def date_only(col) -> Column:

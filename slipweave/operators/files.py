@@ -19,9 +19,8 @@ def copy_plan(names: DataFrame, files: DataFrame, dest: str) -> DataFrame:
     (case ignored) gets a ``__copyN`` suffix."""
     hits = files.select("name", "path", F.col("pos").alias("file_pos")).join(names.select("name", F.col("pos").alias("name_pos")), "name")
     relative = F.concat(F.lit(dest), F.regexp_replace("path", "^/[^/]+", ""))
-    rows = hits.select("name", "path", relative.alias("target"), F.lower(relative).alias("_key"),
-                       (F.col("name_pos").cast("decimal(38,0)") * 10**12 + F.col("file_pos")).alias("_order"))
-    numbered = with_ordinal(rows, "_order", "copy_no", ["_key"])
+    rows = hits.select("name", "path", relative.alias("target"), F.lower(relative).alias("_key"), "name_pos", "file_pos")
+    numbered = with_ordinal(rows, "name_pos", "copy_no", ["_key"], then=["file_pos"])
     return numbered.select("name", "path", F.when(F.col("copy_no") == 1, F.col("target")).otherwise(
         F.concat(F.regexp_replace("target", r"\.[^./]*$", ""), F.lit("__copy"), F.col("copy_no").cast("string"),
                  F.regexp_extract("target", r"(\.[^./]*)$", 1))).alias("destination"), "copy_no")
@@ -64,26 +63,38 @@ def package_violations(archive: Column, disclaimer: Column) -> Column:
 
 
 def rule_report(packages: DataFrame) -> DataFrame:
-    """rule, message, n: how often each rule is broken; ``valid`` counts the packages without any."""
+    """rule, message, n, share: how often each rule is broken, of all packages; ``valid`` counts the packages without any."""
     keys = F.expr("explode(if(size(violations) = 0, array('valid'), violations))")
     messages = F.create_map(*[F.lit(x) for kv in R.ARCHIVE_RULES.items() for x in kv])
+    total = packages.agg(F.count("*")).first()[0]
     return (packages.select(keys.alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
-            .select("rule", "n", F.coalesce(F.try_element_at(messages, F.col("rule")), F.lit("")).alias("message")))
+            .select("rule", "n", (F.col("n").cast("double") / F.lit(float(max(total, 1)))).alias("share"), F.coalesce(F.try_element_at(messages, F.col("rule")), F.lit("")).alias("message")))
+
+
+def duplicate_names(files: DataFrame) -> DataFrame:
+    """name, n, n_paths, path of names that occur more than once, case and outer blanks ignored."""
+    per_path = files.groupBy(F.lower(F.trim("name")).alias("name"), "path").agg(F.count("*").alias("c"))
+    counts = per_path.groupBy("name").agg(F.sum("c").alias("n"), F.count("*").alias("n_paths")).filter("n > 1")
+    return per_path.join(counts, "name").select("name", "n", "n_paths", "path")
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key: case ignored, digit runs compared as numbers."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", "0000000000000000000$1")
-    return F.regexp_replace(padded, r"0*(\d{20})", "$1")
+    """Sort key: case ignored, digit runs of any length compared as numbers. A run becomes its digits without leading zeros, after
+    their number and the number of digits of that number."""
+    def part(x):
+        digits = F.regexp_replace(x, "^0+(?=[0-9])", "")
+        size = F.length(digits).cast("string")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.length(size).cast("string"), size, digits)).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part), "")
 
 
-def route_topics(text: Column) -> Column:
-    """Source keys of the first keyword group the text mentions, else the default group."""
+def route_topics(text: Column, routes: list[tuple[list[str], list[str]]] = R.TOPIC_ROUTES, default: list[str] = R.TOPIC_DEFAULT) -> Column:
+    """Source keys of the first keyword group the text mentions, else the default group. ``routes`` are the caller's (keywords, keys)."""
     low = F.lower(text)
     out = F.lit(None).cast("array<string>")
-    for words, sources in reversed(R.TOPIC_ROUTES):
+    for words, sources in reversed(routes):
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(low, F.lit(w))
         out = F.when(hit, F.array(*[F.lit(s) for s in sources])).otherwise(out)
-    return F.coalesce(out, F.array(*[F.lit(s) for s in R.TOPIC_DEFAULT]))
+    return F.coalesce(out, F.array(*[F.lit(s) for s in default]))

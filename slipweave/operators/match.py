@@ -7,10 +7,7 @@ from slipweave import rules as R
 from slipweave.functions import fields as X
 from slipweave.functions.text import (contains_any, date_only, normalize_amount, normalize_for_match, normalize_text,
                                       satang)
-from slipweave.operators.ordered import HOT_ROWS, lookup
-
-
-SHORT_LIST = 500
+from slipweave.operators.ordered import HOT_GROUPS, lookup
 
 
 def probable_slip(amount: Column, sender: Column, receiver: Column, bank: Column, raw_text: Column) -> Column:
@@ -26,32 +23,41 @@ def target_match(target: str, receiver: Column, raw_text: Column) -> Column:
     return F.contains(normalize_for_match(receiver), F.lit(wanted)) | F.contains(normalize_for_match(raw_text), F.lit(wanted))
 
 
-def match_targets(slips: DataFrame, targets: DataFrame, gram: int = 8, short_list: int = SHORT_LIST) -> DataFrame:
-    """Every (slip, target) pair whose target occurs in the receiver name or the text.
+GRAM_WIDTHS = (8, 4, 2, 1)
+
+
+def _grams(c: Column, width: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (width - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(width), F.substring(c, i, F.lit(width)))))
 
-    A short target list (checked by count) becomes a constant inside the row and only the hits are
-    unfolded. A longer one is matched by an equi-join on text grams: each target is represented by its
-    rarest gram and the exact test runs on the pairs that share it.
+
+def match_targets(slips: DataFrame, targets: DataFrame, widths: tuple[int, ...] = GRAM_WIDTHS) -> DataFrame:
+    """Every (slip, target) pair whose target occurs in the receiver name or the text; ``index`` identifies a slip.
+
+    A target is represented by its rarest gram, of the largest of ``widths`` that fits into it. The texts are unfolded into
+    (index, gram hash) only, and only for the widths that targets use; the exact test then runs on each candidate pair once.
     """
     norm = targets.select("*", normalize_for_match(F.col("target")).alias("_t"))
     hay = slips.withColumn("_hay", F.concat(normalize_for_match(F.col("receiver_name")), F.lit("\n"),
                                             normalize_for_match(F.col("raw_text"))))
-    known = [r["_t"] for r in norm.select("_t").distinct().limit(short_list + 1).collect()]
-    if len(known) <= short_list:
-        hits = F.filter(F.array(*[F.lit(t) for t in known]).cast("array<string>"), lambda t: F.contains(F.col("_hay"), t))
-        return hay.withColumn("_t", F.explode(hits)).join(norm, "_t").drop("_hay", "_t")
+    fits = F.coalesce(*[F.when(F.length("_t") >= w, F.lit(w)) for w in sorted(widths, reverse=True)], F.lit(0))
+    sized = norm.select(F.col("_t"), fits.alias("_w")).distinct()
+    used = sorted(r["_w"] for r in sized.select("_w").distinct().collect())  # at most one row per width
+    everywhere = F.array(F.lit(0).cast("bigint"))
+    pick = everywhere
+    for w in used:
+        pick = F.when(F.col("_w") == w, _grams(F.col("_t"), w) if w else everywhere).otherwise(pick)
+    exploded = sized.select("_t", F.explode(pick).alias("_g"))
+    counted = exploded.groupBy("_g").agg(F.count("*").alias("_n"))
+    chosen = exploded.join(counted, "_g").groupBy("_t").agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
+    probes = F.flatten(F.array(*[_grams(F.col("_hay"), w) if w else everywhere for w in used])) if used else everywhere
+    candidates = (hay.select("index", F.explode(F.array_distinct(probes)).alias("_g")).join(chosen, "_g").select("index", "_t").distinct())
+    found = hay.join(candidates, "index").filter(F.contains("_hay", F.col("_t")))
+    return found.join(norm, "_t").drop("_hay", "_t")
 
-    width = min(gram, norm.filter("_t <> ''").agg(F.min(F.length("_t"))).first()[0])
 
-    def grams(c):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))),
-                                            lambda i: F.substring(c, i, F.lit(width))))
-    exploded = norm.withColumn("_g", F.explode(F.when(F.col("_t") == "", F.array(F.lit(""))).otherwise(grams(F.col("_t")))))
-    counted = exploded.groupBy("_g").agg(F.count("*").alias("_n"))
-    chosen = exploded.join(counted, "_g").groupBy(*norm.columns).agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
-    probes = F.array_union(F.array(F.lit("")), grams(F.col("_hay")))
-    pairs = hay.withColumn("_g", F.explode(probes)).join(chosen, "_g").filter(F.contains("_hay", F.col("_t")))
-    return pairs.drop("_g", "_hay", "_t")
+#: Short escapes of control characters in JSON: fixed values.
+CONTROL_ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
 
 
 def fingerprint_fields() -> dict[str, Column]:
@@ -73,7 +79,11 @@ def with_fingerprint(df: DataFrame) -> DataFrame:
     staged = df.select("*", *[v.alias(f"_f_{k}") for k, v in parts.items()])
 
     def escaped(c):
-        return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        full = plain
+        for code in range(0x20):
+            full = F.replace(full, F.lit(chr(code)), F.lit(CONTROL_ESCAPES.get(code, f"\\u{code:04x}")))
+        return F.when(c.rlike("[\\x00-\\x1f]"), full).otherwise(plain)
     body = []
     for i, k in enumerate(sorted(parts)):
         body += [F.lit(('{' if i == 0 else ', ') + f'"{k}": "'), escaped(F.col(f"_f_{k}")), F.lit('"')]
@@ -96,7 +106,7 @@ def fact_rows(parsed: DataFrame) -> DataFrame:
         "receiver_name", "receiver_account", "amount", "currency", "transaction_id", "memo", "bank_name", "fingerprint", "error")
 
 
-def flag_duplicates(df: DataFrame, keys: list[str] | None = None, hot: int = HOT_ROWS) -> DataFrame:
+def flag_duplicates(df: DataFrame, keys: list[str] | None = None, hot: int = HOT_GROUPS) -> DataFrame:
     """Adds duplicate, duplicate_of, review_required and review_reason.
 
     Among matched slips with a fingerprint the first index is the original. ``keys`` separates reports

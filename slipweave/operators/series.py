@@ -60,12 +60,14 @@ def series_length(rows: DataFrame) -> DataFrame:
 
 
 def merge_gaps(intervals: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
-    """Joins neighbouring intervals whose start is at most ``gap`` after the furthest end so far."""
-    reach = running_max_before(intervals, KEY, "start", F.col("end"), "_reach", block)
+    """Joins neighbouring intervals whose start is at most ``gap`` after the furthest end so far. Intervals with one start
+    are one row from the beginning; ``parts`` still counts each."""
+    starts = intervals.groupBy(*KEY, "start").agg(F.max("end").alias("end"), F.count("*").alias("_parts"))
+    reach = running_max_before(starts, KEY, "start", F.col("end"), "_reach", block)
     fresh = F.when(F.col("_reach").isNull() | (F.col("start") - F.col("_reach") > gap), 1).otherwise(0)
     grouped = running_total(reach, KEY, "start", {"_g": fresh}, block)
     return grouped.groupBy(*KEY, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"),
-                                           F.count("*").alias("parts")).drop("_g")
+                                           F.sum("_parts").alias("parts")).drop("_g")
 
 
 def totals_between(rows: DataFrame, spans: DataFrame, values: dict, block: int = BLOCK) -> DataFrame:

@@ -204,3 +204,9 @@ def merge_fill(primary: DataFrame, rules: DataFrame, key: str, columns: list[str
     """Primary extraction wins per field, rule extraction fills the gaps."""
     p, r = primary.alias("p"), rules.alias("r")
     return p.join(r, key, "full").select(key, *[F.coalesce(F.col(f"p.{c}"), F.col(f"r.{c}")).alias(c) for c in columns])
+
+
+def brand_fallback(bank: Column, brand: Column) -> Column:
+    """The bank of the text; where that is unknown, the brand that a second source has recognised."""
+    unknown = lambda c: F.coalesce(c, F.lit(R.UNKNOWN_BANK[0])) == R.UNKNOWN_BANK[0]
+    return F.when(unknown(bank) & ~unknown(brand), brand).otherwise(bank)

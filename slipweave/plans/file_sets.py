@@ -7,6 +7,7 @@ from slipweave import rules as R
 from slipweave.operators import files as O
 from slipweave.operators.ordered import with_ordinal
 from slipweave.plans.registry import query
+from slipweave.session import shared_dir
 from slipweave.sources import feeds, scan
 from slipweave.sources.tables import documents, table
 
@@ -21,10 +22,16 @@ def names(spark, sf_dir):
     return O.requested_names(feeds.name_list(spark, sf_dir))
 
 
-@query("src_scan_files")
+@query("src_scan_files", "SELECT source, count(*) AS n_lines, sum(length(name) + 1) AS n_bytes FROM (SELECT source, source || '_' || doc_id || '.jpg' AS name FROM documents) GROUP BY source")
 def src_scan_files(spark, sf_dir):
-    """Files below the table folder with a listed extension, ordered by path without case."""
-    return scan.scan_files(spark, sf_dir, ["parquet"])
+    """Name lists written as one folder of text files per source, found again by a scan of the folders."""
+    path = shared_dir(spark)
+    listed = table(spark, sf_dir, "documents").select("source", F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("value"))
+    listed.write.partitionBy("source").text(path)
+    found = scan.scan_files(spark, path, ["txt"]).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "path", "length")
+    sizes = found.groupBy("source").agg(F.sum("length").alias("n_bytes"))
+    lines = scan.read_name_list(spark, path).groupBy("source").agg(F.count("*").alias("n_lines"))
+    return sizes.join(lines, "source")
 
 
 @query("src_file_hash", "SELECT doc_id, sha256(text) AS file_hash, 'SHA256:' || sha256(text) AS stamp FROM documents")
@@ -81,12 +88,12 @@ def agg_copy_summary(spark, sf_dir):
     return O.copy_summary(names(spark, sf_dir), feeds.files(spark, sf_dir))
 
 
-@query("agg_duplicate_names", FILES + """SELECT lower(trim(name)) AS name, count(*) AS n, count(DISTINCT path) AS n_paths, min(path) AS first_path
-FROM f GROUP BY 1 HAVING count(*) > 1""")
+@query("agg_duplicate_names", FILES + """, d AS (SELECT lower(trim(name)) AS name, path, count(*) AS c FROM f GROUP BY ALL),
+n AS (SELECT *, sum(c) OVER (PARTITION BY name) AS n, count(*) OVER (PARTITION BY name) AS n_paths FROM d)
+SELECT name, CAST(n AS BIGINT) AS n, n_paths, path FROM n WHERE n > 1""")
 def agg_duplicate_names(spark, sf_dir):
-    """Names used more than once, case ignored, with their distinct paths counted by a pre-aggregation."""
-    per_path = feeds.files(spark, sf_dir).groupBy(F.lower(F.trim("name")).alias("name"), "path").agg(F.count("*").alias("c"))
-    return per_path.groupBy("name").agg(F.sum("c").alias("n"), F.count("*").alias("n_paths"), F.min("path").alias("first_path")).filter("n > 1")
+    """Names used more than once, case ignored, with every path: one row per name and path, so no list grows with a name."""
+    return O.duplicate_names(feeds.files(spark, sf_dir))
 
 
 def parts(spark, sf_dir):
@@ -131,7 +138,7 @@ v AS (SELECT list_filter([CASE WHEN a = '' THEN 'required' END, CASE WHEN a <> '
     CASE WHEN a <> '' AND NOT regexp_full_match(a, '[A-Za-z0-9._-]{3,80}') THEN 'charset' END, CASE WHEN contains(a, '..') THEN 'dots' END,
     CASE WHEN left(a, 1) IN ('-','_','.') OR right(a, 1) IN ('-','_','.') THEN 'edges' END, CASE WHEN d IS NULL THEN 'disclaimer_required' END,
     CASE WHEN length(d) < 20 THEN 'disclaimer_short' END], lambda x: x IS NOT NULL) AS l FROM p)
-SELECT rule, count(*) AS n FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['valid'] ELSE l END) AS rule FROM v) GROUP BY rule""")
+SELECT rule, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM v) AS share FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['valid'] ELSE l END) AS rule FROM v) GROUP BY rule""")
 def val_rule_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     k, num = F.col("doc_id") % 6, F.col("doc_id").cast("string")
@@ -140,7 +147,7 @@ def val_rule_report(spark, sf_dir):
                .when(k == 4, F.lit("  ")).otherwise(F.lit("ab")))
     note = (F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 4 == 1, "short note")
             .otherwise(F.concat(F.lit("Evidence of case "), (F.col("doc_id") + 10000).cast("string"))))
-    return O.rule_report(docs.select(O.package_violations(archive, note).alias("violations"))).select("rule", "n")
+    return O.rule_report(docs.select(O.package_violations(archive, note).alias("violations"))).select("rule", "n", "share")
 
 
 @query("srt_path_ci", FILES + "SELECT path, lower(path) AS sort_key FROM f")
@@ -148,7 +155,9 @@ def srt_path_ci(spark, sf_dir):
     return feeds.files(spark, sf_dir).select("path", F.lower("path").alias("sort_key")).orderBy("sort_key", "path")
 
 
-@query("srt_natural", FILES + "SELECT name, 'src' || lpad(regexp_extract(lower(name), '^src([0-9]+)_', 1), 20, '0') || '_' || lpad(regexp_extract(name, '_([0-9]+)[.]', 1), 20, '0') || '.jpg' AS sort_key FROM f")
+@query("srt_natural", FILES + """, d AS (SELECT name, CAST(CAST(regexp_extract(lower(name), '^src([0-9]+)_', 1) AS BIGINT) AS VARCHAR) AS a,
+  CAST(CAST(regexp_extract(name, '_([0-9]+)[.]', 1) AS BIGINT) AS VARCHAR) AS b FROM f)
+SELECT name, 'src' || length(CAST(length(a) AS VARCHAR)) || length(a) || a || '_' || length(CAST(length(b) AS VARCHAR)) || length(b) || b || '.jpg' AS sort_key FROM d""")
 def srt_natural(spark, sf_dir):
     return feeds.files(spark, sf_dir).select("name", O.natural_key(F.col("name")).alias("sort_key")).orderBy("sort_key", "name")
 

@@ -93,6 +93,11 @@ def agg_batch_summary(spark, sf_dir):
     return G.batch_summary(facts(spark, sf_dir).select("error", F.length("raw_text").alias("millis")))
 
 
+@query("agg_batch_failures", "SELECT idx AS index, file_name, 'EMPTY_TEXT' AS error FROM @FEED WHERE t_empty")
+def agg_batch_failures(spark, sf_dir):
+    return G.failed_files(facts(spark, sf_dir))
+
+
 @query("doc_ledger_11", MATCHED + """SELECT row_number() OVER (ORDER BY idx) AS sequence, t_date AS transaction_date, t_time AS transaction_time, t_bank_name AS bank_from, substr(t_sender, 5) AS sender_name,
   CAST(round(t_amount * 100) AS BIGINT) AS amount_satang, CASE WHEN t_merchant THEN t_receiver ELSE substr(t_receiver, 6) END AS receiver_name,
   CASE t_receiver_bank WHEN 'KTB' THEN 'ธนาคารกรุงไทย' WHEN 'GSB' THEN 'ธนาคารออมสิน' WHEN 'UOB' THEN 'ธนาคารยูโอบี' WHEN 'BBL' THEN 'ธนาคารกรุงเทพ' WHEN 'SCB' THEN 'ธนาคารไทยพาณิชย์' WHEN 'TTB' THEN 'ธนาคารทหารไทยธนชาต' END AS bank_to,
@@ -134,6 +139,13 @@ def doc_redact(spark, sf_dir):
     return r.select("doc_id", F.sha2("redacted", 256).alias("redacted_hash"), "emails", "accounts", "digit_runs")
 
 
-@query("doc_near_duplicate")
+@query("doc_near_duplicate", r"""WITH d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS o, b.doc_id AS d, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+j AS (SELECT d, o, CAST(i AS DOUBLE) / (x.n + y.n - i) AS similarity FROM p JOIN n x ON x.doc_id = o JOIN n y ON y.doc_id = d)
+SELECT d AS doc_id, o AS candidate_of, 'near' AS kind, similarity FROM j WHERE similarity >= 0.8
+UNION ALL SELECT doc_id, first, 'exact', CAST(1 AS DOUBLE) FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first""")
 def doc_near_duplicate(spark, sf_dir):
     return D.near_copies(documents(spark, sf_dir, "text"))

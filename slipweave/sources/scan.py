@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slipweave import rules as R
-from slipweave.functions.text import lines
 
 
 def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None, with_content: bool = False) -> DataFrame:
@@ -21,9 +20,10 @@ def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = No
 
 
 def read_name_list(spark: SparkSession, path: str) -> DataFrame:
-    """pos, line of a text list. Positions follow the order of the lines in each file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(lines(F.col("value"))).alias("pos", "line"))
+    """The lines of text lists as ``line``, with the partition columns of the folder; trimmed and without empty ones."""
+    found = spark.read.text(path)
+    cleaned = F.trim(F.regexp_replace("value", r"^\ufeff", ""))
+    return found.withColumn("line", cleaned).filter("line <> ''").drop("value")
 
 
 AUDIT_SCHEMA = """summary STRUCT<scanned_files: BIGINT, document_no: BIGINT>, results ARRAY<STRUCT<file_name: STRING, file_path: STRING, file_hash: STRING,
@@ -33,10 +33,11 @@ AUDIT_SCHEMA = """summary STRUCT<scanned_files: BIGINT, document_no: BIGINT>, re
 
 
 def read_audit(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Audit files {summary, results[]} as one row per result object. The index follows the
-    order in the file, and the document number where an audit is split into several documents."""
+    """Audit files {summary, results[]} as one row per result object. The index is (file, document number, document, position in it), which
+    orders the results of any number of files of any size."""
     audits = spark.read.schema(AUDIT_SCHEMA).option("multiLine", str(multi_line).lower()).json(path)
-    rows = audits.select(F.coalesce("summary.document_no", F.lit(0)).alias("doc"), F.posexplode("results").alias("pos", "r")).filter(F.col("r").isNotNull())
-    return rows.select((F.col("doc") * 1_000_000 + F.col("pos") + 1).cast("bigint").alias("index"), "r.*").withColumn(
+    rows = audits.select(F.col("_metadata.file_path").alias("file"), F.coalesce("summary.document_no", F.lit(0)).alias("document"), F.monotonically_increasing_id().alias("row"),
+                         F.posexplode("results").alias("pos", "r")).filter(F.col("r").isNotNull())
+    return rows.select(F.struct("file", "document", "row", "pos").alias("index"), "r.*", "pos").withColumn(
         "file_name", F.coalesce("file_name", F.nullif(F.regexp_extract("file_path", r"([^/]+)$", 1), F.lit("")),
-                                F.concat(F.lit("record-"), F.col("index").cast("string"))))
+                                F.concat(F.lit("record-"), (F.col("pos") + 1).cast("string")))).drop("pos")
