@@ -222,7 +222,8 @@ def _over_texts(docs: DataFrame, path: str, doc_id: str, text: str, fields: str,
 def token_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (an array), decoded (the text of the ids): one row per row of docs."""
     def row_of(parts):
-        return ([int(i) for p in parts if p[1] for i in p[1].split(",")], b"".join([p[2] for p in parts]).decode("utf-8", errors="replace"))
+        _, ids, decoded = joined(parts)
+        return np.fromstring(ids, dtype=np.int32, sep=",") if ids else [], decoded.decode("utf-8", errors="replace")
     return _over_texts(docs, path, doc_id, text, "ids array<int>, decoded string", row_of)
 
 

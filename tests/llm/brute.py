@@ -1,11 +1,14 @@
 """Plain versions of the operators over lists of rows, and the rows of the edge-case tests."""
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
 
+from slipweave.llm import language, mixing
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, row string, h bigint, id string, copy_no int, n_lines int, "
           "kept_text string, clean_text string, shuffle_key int, text_sha256 string")
@@ -117,3 +120,72 @@ def later_repeats(rows, run):
             if a != d or s >= b + run:
                 gone[d].update(i for i, _ in p[s:s + run])
     return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[d]) for d, t in rows}
+
+
+def posterior(rows, languages):
+    """Brute-force version of the fusion over (id, text, declared, host)."""
+    k = len(languages)
+    grams = []
+    for _, t, _, _ in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        parts = [b for b, _ in language.trigrams(data, np.array([0, len(data)]))]
+        grams.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+    table = np.full((k, language.BUCKETS), language.ALPHA)
+    for (_, _, d, _), g in zip(rows, grams):
+        if d in languages:
+            np.add.at(table[languages.index(d)], g, 1)
+    logp = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    ll = [np.round(np.array([p[g].astype(float).sum() for p in logp]) * min(1.0, language.TEMPER / max(len(g), 1)), 6) for g in grams]
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    own = [np.round(soft(v) * language.UNIT) if len(g) else np.zeros(k) for v, g in zip(ll, grams)]
+    one = [1 if len(g) else 0 for g in grams]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1] if "." in h else ""
+
+    def sums(key):
+        n, s = Counter(), {}
+        for (_, _, _, h), o, u in zip(rows, one, own):
+            if h is not None:
+                n[key(h)] += o
+                s[key(h)] = s.get(key(h), 0) + u
+        return n, s
+    levels = [sums(f) for f in (lambda h: 0, suffix, domain, lambda h: h)]
+    corpus = (levels[0][1].get(0, np.zeros(k)) / language.UNIT + 1) / (levels[0][0][0] + k)
+    out = {}
+    for (i, _, d, h), v, o, u in zip(rows, ll, one, own):
+        p = corpus
+        if h is not None:
+            for (n, s), key, minus, mu in ((levels[1], suffix(h), 0, 0), (levels[2], domain(h), 0, 0), (levels[3], h, o, u)):
+                if n[key]:
+                    p = ((s[key] - mu) / language.UNIT + language.PSEUDO * p) / (n[key] - minus + language.PSEUDO)
+        score = v + np.log(p)
+        for sign, trust in ((d, language.DECLARED_TRUST), (language.SUFFIXES.get(suffix(h or "")), language.SUFFIX_TRUST)):
+            if sign in languages:
+                score = score + np.array([math.log(trust if x == sign else (1 - trust) / (k - 1)) for x in languages])
+        q = soft(score)
+        out[i] = (languages[int(q.argmax())] if o else "und", float(q.max()) if o else 0.0)
+    return out
+
+
+def poisson(rate, seed, key):
+    parts, total = max(1, math.ceil(rate / mixing.PART)), 0
+    for i in range(1, parts + 1):
+        u = (int(hashlib.md5(f"{seed}|{key}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        p = c = math.exp(-rate / parts)
+        n = 0
+        while c <= u and n < mixing.TERMS:
+            n += 1
+            p *= rate / parts / n
+            c += p
+        total += n
+    return total
+
+
+def mixing_rates(rows, weights, other, epochs=1.0):
+    """Repetition rate of every source of (doc_id, text, source)."""
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").encode()) + 1
+    rest = sum(n for s, n in size.items() if s not in weights)
+    budget = epochs * sum(size.values()) / (sum(w for s, w in weights.items() if s in size) + (other if rest else 0))
+    return {s: weights[s] * budget / n if s in weights else other * budget / rest for s, n in size.items()}
