@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from slipweave.operators.ordered import BLOCK, running_max_before, running_total, with_neighbours, with_ordinal
 
 KEY = ["series_id"]
+#: Sums between positions are differences of running totals, so values are summed as whole millionths.
+UNIT = 1_000_000
 WEIGHTS = {-2: 1, -1: 2, 0: 3, 1: 2, 2: 1}
 
 
@@ -73,11 +75,11 @@ def merge_gaps(intervals: DataFrame, gap: int, block: int = BLOCK) -> DataFrame:
 def totals_between(rows: DataFrame, spans: DataFrame, values: dict, block: int = BLOCK) -> DataFrame:
     """Adds sums of ``values`` over the rows [start, end] of each span: two equality joins on running
     totals instead of a range join."""
-    totals = running_total(rows, KEY, "y", {f"_t_{n}": c for n, c in values.items()}, block)
+    totals = running_total(rows, KEY, "y", {f"_t_{n}": F.round(c.cast("double") * UNIT).cast("bigint") for n, c in values.items()}, block)
     upto = totals.select(*KEY, F.col("y").alias("end"), *[F.col(f"_t_{n}").alias(f"_b_{n}") for n in values])
     before = totals.select(*KEY, (F.col("y") + 1).alias("start"), *[F.col(f"_t_{n}").alias(f"_a_{n}") for n in values])
     j = spans.join(upto, [*KEY, "end"], "left").join(before, [*KEY, "start"], "left")
-    return j.select(*spans.columns, *[(F.col(f"_b_{n}") - F.coalesce(F.col(f"_a_{n}"), F.lit(0))).alias(n) for n in values])
+    return j.select(*spans.columns, *[((F.col(f"_b_{n}") - F.coalesce(F.col(f"_a_{n}"), F.lit(0))) / UNIT).alias(n) for n in values])
 
 
 def quiet_bands(rows: DataFrame, quiet: Column, score: Column, min_rows: int = 10, margin: int = 40, gap: int = 8,

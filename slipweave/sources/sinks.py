@@ -55,7 +55,9 @@ def append_records(df: DataFrame, path: str, case_number: str = R.DEFAULT_CASE_N
     spark = df.sparkSession
     try:
         last = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         last = 0
     n = with_ordinal(df, "index", "_n")
 
