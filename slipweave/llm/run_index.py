@@ -6,13 +6,14 @@ A byte goes when it is covered by a string of ``length`` bytes that starts at a
    windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a segment. Only (gram hash, segment hash) of segments
    is shuffled. Segments that occur twice are repeated as a whole. Those that occur once, under a gram that occurs with other segments
    too, are open: parts of them may be repeated.
-2. Index. Open segments and one copy of each repeated segment under their gram meet by gram. Each task concatenates whole grams up to
-   BLOCK_BYTES and builds a run-compressed Burrows-Wheeler transform with the suffix positions at the ends of its runs. The longest
-   match of a suffix with its neighbours in suffix order is compared only at run ends and loses one byte per step inside a run, so matching
-   statistics stream over the text from the sampled positions. Positions with statistics of ``length`` or more are marked.
-3. Crowded grams, with more than CROWD different segments, are not collected in a task. Their segments are cut into pieces of STEPS windows,
-   aligned at the gram, with a core of bytes that all windows of a piece hold. Pieces whose core is unique are dropped, groups of equal pieces are
-   repeated as a whole, and the rest is cut finer, down to single windows: an exact way by grouped counts alone.
+2. Pieces. Open segments and one copy of each repeated segment under their gram are cut into pieces of STEPS[0] windows, aligned at the gram,
+   with a core of bytes that all windows of a piece hold. Pieces whose core is unique are dropped; equal pieces are repeated as a whole.
+3. Index. The other pieces meet by core. Each task concatenates whole groups up to BLOCK_BYTES and builds a run-compressed Burrows-Wheeler
+   transform with the suffix positions at the ends of its runs. The longest match of a suffix with its neighbours in suffix order is
+   compared only at run ends and loses one byte per step inside a run, so matching statistics stream over the text from the
+   sampled positions. Positions with statistics of ``length`` or more are marked.
+4. Crowded cores, with more than CROWD pieces, are not collected in a task: their pieces are cut finer, down to single windows, an exact way by
+   grouped counts alone.
 
 Equal (gram, segment) hashes of 64 bits each count as equal strings. Null counts as empty; a text shorter than ``length`` has nothing to
 remove; matches never cross documents. Rows are identified by (doc_id, hash of the text): rows that repeat both are one place each, so such a
@@ -30,10 +31,10 @@ from slipweave.llm.common import attach, buffer_of, chunks, column, documents, s
 from slipweave.llm.registry import query
 
 LENGTH, GRAM = 400, 48
-#: Bytes that one index is built over, and the different segments of a gram that are still indexed.
+#: Bytes that one index is built over, and the pieces of a core that are still indexed.
 BLOCK_BYTES, CROWD = 1 << 19, 512
-#: Windows in the pieces that crowded segments are cut into, one cut after the other.
-STEPS = (64, 8, 1)
+#: Windows in the pieces that segments are cut into; all but the first for crowded cores.
+STEPS = (192, 24, 3, 1)
 #: Positions of a text looked at together.
 REACH = 1 << 20
 SEPARATOR = 0xFF
@@ -209,7 +210,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def indexed(rows: DataFrame, length: int, block: int = BLOCK_BYTES) -> DataFrame:
-    """(doc, h, start, stop): bytes of rows (gram, doc, h, start, bytes) that the index marks; all rows of a gram are in one task."""
+    """(doc, h, start, stop): bytes of rows (core, doc, h, start, bytes) that the index marks; all rows of a core are in one task."""
     import pyarrow as pa
 
     def solve(held: list[tuple]) -> Iterator:
@@ -235,7 +236,7 @@ def indexed(rows: DataFrame, length: int, block: int = BLOCK_BYTES) -> DataFrame
                 size += len(row[4])
         if held:
             yield from solve(held)
-    return (rows.select("gram", "doc", "h", "start", "bytes").repartition("gram").sortWithinPartitions("gram")
+    return (rows.select("core", "doc", "h", "start", "bytes").repartition("core").sortWithinPartitions("core")
             .mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, h bigint, start bigint, stop bigint"))
 
 
@@ -257,7 +258,7 @@ def pieces(rows: DataFrame, length: int, step: int) -> DataFrame:
                     top, low = min(lead, step * k + step - 1), max(last, step * k)
                     a, m = lead - top, top - low + 1
                     part = body[a:a + m + length - 1]
-                    core = body[lead - step * k:lead - step * k - step + 1 + length]
+                    core = body[lead - step * k:max(lead - step * k, lead - step * k - step + 1 + length)]
                     take.append(i)
                     out.append((start + a, m, top, gram, part, xxhash.xxh3_64_intdigest(core, seed=(gram + k) % (1 << 64)) - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
@@ -269,26 +270,31 @@ def pieces(rows: DataFrame, length: int, step: int) -> DataFrame:
         run, f"doc {kinds['doc']}, h bigint, start bigint, windows bigint, lead bigint, gram bigint, bytes binary, core bigint, body bigint")
 
 
-def refined(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, h, start, stop): the same for crowded grams, by ever smaller pieces; no gram's rows meet in one task."""
-    found = []
-    for step in STEPS:
-        cut = stored(pieces(rows, length, step))
-        shared = stored(cut.groupBy("core").agg(F.count("*").alias("n"), (F.min("body") != F.max("body")).alias("mixed")).filter("n > 1"))
-        met = attach(cut, shared, ["core"], "n", cut.count()).filter("n is not null")
-        found.append(met.filter("not mixed").select("doc", "h", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop")))
-        rows = met.filter("mixed")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+def _met(cut: DataFrame) -> DataFrame:
+    """Pieces whose core occurs twice, with ``n``, how often, and ``mixed``, whether they differ."""
+    shared = stored(cut.groupBy("core").agg(F.count("*").alias("n"), (F.min("body") != F.max("body")).alias("mixed")).filter("n > 1"))
+    return stored(attach(cut, shared, ["core"], "n", cut.count()).filter("n is not null"))
+
+
+def _whole(rows: DataFrame, length: int) -> DataFrame:
+    return rows.select("doc", "h", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
+
+
+def refined(rows: DataFrame, length: int, steps: tuple[int, ...]) -> DataFrame:
+    """(doc, h, start, stop): the same for crowded cores, by ever smaller pieces; no core's rows meet in one task."""
+    found = None
+    for step in steps:
+        met = _met(stored(pieces(rows, length, step)))
+        equal, rows = _whole(met.filter("not mixed"), length), met.filter("mixed")
+        found = equal if found is None else found.unionByName(equal)
+    return found
 
 
 def with_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(gram, doc, h, start, windows, lead, bytes, kinds) of wanted segments, which come without bytes; each text is taken once."""
-    lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "windows", "lead", "gram", "kinds")).alias("list"))
+    """(gram, doc, h, start, windows, lead, bytes) of wanted segments, which come without bytes."""
+    lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "windows", "lead", "gram")).alias("list"))
     once = texts.alias("t").join(lists.alias("l"), F.expr("t.h = l.h and t.doc <=> l.doc")).select("t.doc", "t.h", F.encode("t.text", "utf-8").alias("text"), F.explode("l.list").alias("s"))
-    return once.select("s.gram", "doc", "h", "s.start", "s.windows", "s.lead", F.substring("text", (F.col("s.start") + 1).cast("int"), (F.col("s.windows") + length - 1).cast("int")).alias("bytes"), "s.kinds")
+    return once.select("s.gram", "doc", "h", "s.start", "s.windows", "s.lead", F.substring("text", (F.col("s.start") + 1).cast("int"), (F.col("s.windows") + length - 1).cast("int")).alias("bytes"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, block: int = BLOCK_BYTES) -> DataFrame:
@@ -302,15 +308,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         F.struct("doc", "h", "start", "windows", "lead"), F.xxhash64("doc", "h", "start")).alias("one")))
     # whole segments that are repeated
     many = stored(bodies.filter("n > 1").select("gram", "body", "n"))
-    whole = (attach(shared.drop("mixed", "lead"), many, ["gram", "body"], "n", total).filter("n is not null")
-             .select("doc", "h", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop")))
+    whole = _whole(attach(shared.drop("mixed", "lead"), many, ["gram", "body"], "n", total).filter("n is not null"), length)
     # different segments under one gram
-    mixed = stored(bodies.filter("mixed").groupBy("gram").agg(F.count("*").alias("kinds")))
-    met = attach(bodies.filter("mixed").select("gram", "one"), mixed, ["gram"], "kinds", total)
-    fetched = stored(with_bytes(texts, met.select("one.*", "gram", "kinds"), length))
-    spans = whole.unionByName(indexed(fetched.filter(F.col("kinds") <= crowd), length, block))
-    if not mixed.filter(F.col("kinds") > crowd).isEmpty():
-        spans = spans.unionByName(refined(fetched.filter(F.col("kinds") > crowd), length))
+    fetched = with_bytes(texts, bodies.filter("mixed").select("one.*", "gram"), length)
+    met = _met(stored(pieces(fetched, length, STEPS[0])))
+    few = F.col("n") <= crowd
+    spans = whole.unionByName(_whole(met.filter("not mixed"), length)).unionByName(indexed(met.filter(F.col("mixed") & few), length, block))
+    crowded = met.filter(F.col("mixed") & ~few)
+    if not crowded.isEmpty():
+        spans = spans.unionByName(refined(crowded, length, STEPS[1:]))
     return spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
