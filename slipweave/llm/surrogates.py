@@ -38,6 +38,8 @@ PATTERNS = {
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every entity has one of; texts without it need no search.
+SIGN = rf"[0-9@=:]|AKIA|(?<![\p{{L}}\p{{N}}]){TITLE} "
 GIVEN = {
     ("latin", "m"): ["Adam", "Boris", "Carl", "Daniel", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nils", "Oscar", "Paul"],
     ("latin", "f"): ["Alma", "Berta", "Clara", "Dora", "Emma", "Frida", "Greta", "Hanna", "Ida", "Julia", "Klara", "Lena", "Maria", "Nora", "Olga", "Paula"],
@@ -192,7 +194,7 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id
     """docs with n_entities and clean_text (renamed where docs has such columns): one row per row of docs."""
     names = fresh(docs, "n_entities", "clean_text")
     rows = docs.select(F.struct("*").alias("row"), column(doc_id).alias("doc"), F.xxhash64(column(text)).alias("h"), column(text).alias("text"))
-    found = rows.withColumn("m", F.coalesce(F.regexp_extract_all("text", F.lit(ANY), 0), F.array().cast("array<string>")))
+    found = rows.withColumn("m", F.coalesce(F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(ANY), 0)), F.array().cast("array<string>")))
     mentions = stored(found.filter(F.size("m") > 0).select("doc", "h", F.posexplode("m").alias("i", "m")).distinct().withColumn("u", units_of(F.col("m"))))
     used = mentions.select("doc", "h", "i", F.posexplode("u").alias("j", "u")).select("doc", "h", "i", "j", "u.kind", "u.core")
     units = stored(used.groupBy("kind", "core").agg(F.count("*").alias("n")))
