@@ -8,6 +8,10 @@ stands earlier in (doc_id, text, position) order and does not overlap it. All li
 
 Lines are equal when equal without ASCII blanks at their ends. Null counts as one empty line. Rows that share doc_id and text are one
 document: they are changed alike and do not count as repeats of each other. Texts with fewer than RUN lines are left alone.
+
+With ``long_words`` the shortest run depends on its length: fewer than RUN consecutive lines are a run as well if they have that many words together, so
+a passage on one or two lines goes too, also from texts with fewer than RUN lines. All such windows are counted; the same rule tells the later repeats.
+op3_line_winnowing is without it, as its SQL says; op3_long_lines is with it.
 """
 from __future__ import annotations
 
@@ -18,6 +22,9 @@ from slipweave.llm.registry import query
 
 #: Lines of the shortest run, which is also the winnowing window.
 RUN = 3
+#: Words that make fewer lines than RUN a run.
+LONG_WORDS = 50
+BLANKS = r"[\x20\x09-\x0D]+"
 EDGE_BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -33,6 +40,17 @@ def line_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return _keyed(docs, doc_id, text).select("doc", "h", worded.alias("w")).select("doc", "h", F.col("w.v").alias("v"), F.col("w.at").alias("at"))
 
 
+def long_windows(docs: DataFrame, run: int, long_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, h, s, x, at): the windows of ``run`` lines with a word that have at least ``long_words`` words."""
+    lines = F.filter(F.transform("lines", lambda x, i: F.struct(F.regexp_replace(x, EDGE_BLANKS, "").alias("x"), i.alias("at"))), lambda s: s["x"] != "")
+    counted = F.transform(lines, lambda s: F.struct(F.xxhash64(s["x"]).alias("v"), s["at"].alias("at"), F.size(F.split(s["x"], BLANKS)).alias("n")))
+    rows = _keyed(docs, doc_id, text).dropDuplicates(["doc", "h"]).select("doc", "h", counted.alias("w")).filter(F.size("w") >= run)
+    at = F.sequence(F.lit(0), F.size("w") - run)
+    enough = F.filter(at, lambda s: F.aggregate(F.slice("w", s + 1, run), F.lit(0).cast("bigint"), lambda a, w: a + w["n"]) >= long_words)
+    cut = rows.select("doc", "h", "w", F.explode(enough).alias("s")).withColumn("c", F.slice("w", F.col("s") + 1, run))
+    return cut.select("doc", "h", "s", F.xxhash64("c.v").alias("x"), F.col("c.at").alias("at"))
+
+
 def winnowed(v: Column, run: int) -> Column:
     """Places of the fingerprints in an array of hashes with at least ``run`` elements."""
     marked = F.transform(v, lambda x, i: F.struct(x.alias("x"), (-i).alias("i")))
@@ -52,15 +70,28 @@ def repeated_lines(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text
     windows = stored(hashes.dropDuplicates(["doc", "h"]).alias("a").join(places.alias("p"), F.expr("a.h = p.h and a.doc <=> p.doc"))
                      .select("a.doc", "a.h", "a.v", "a.at", F.explode(near).alias("s"))
                      .select("doc", "h", "s", F.xxhash64(F.slice("v", F.col("s") + 1, run)).alias("x"), F.slice("at", F.col("s") + 1, run).alias("at")))
+    return _later(windows, run).groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+
+
+def _later(windows: DataFrame, run: int) -> DataFrame:
+    """The stored windows that are later repeats."""
     firsts = stored(windows.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "s")).alias("first")).filter("n > 1"))
     met = attach(windows, firsts, ["x"], "n", windows.count())
     later = met.filter(~F.col("doc").eqNullSafe(F.col("first.doc")) | (F.col("h") != F.col("first.h")) | (F.col("s") >= F.col("first.s") + run))
-    return later.filter("n is not null").groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+    return later.filter("n is not null").select("doc", "h", "at")
 
 
-def delete_repeats(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, run: int, long_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """repeated_lines with the runs of fewer than ``run`` lines that have at least ``long_words`` words."""
+    gone = repeated_lines(docs, run, doc_id, text)
+    for lines in range(1, run):
+        gone = gone.unionByName(_later(stored(long_windows(docs, lines, long_words, doc_id, text)), lines).withColumnRenamed("at", "gone"))
+    return gone.groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def delete_repeats(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
     """docs with n_lines, n_removed and kept_text (renamed where docs has such columns): one row per row of docs."""
-    gone = stored(repeated_lines(docs, run, doc_id, text))
+    gone = stored(repeated_lines(docs, run, doc_id, text) if long_words is None else repeated_passages(docs, run, long_words, doc_id, text))
     full = F.coalesce(column(text), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), column(doc_id).alias("doc"), F.xxhash64(full).alias("h"), full.alias("text"))
     met = rows.alias("r").join(gone.alias("g"), F.expr("r.h = g.h and r.doc <=> g.doc"), "left").select("r.row", "r.text", "g.gone", F.split("r.text", "\n").alias("lines"))
@@ -88,3 +119,9 @@ SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id""")
 def op3_line_winnowing(spark, sf_dir):
     return delete_repeats(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_long_lines")
+def op3_long_lines(spark, sf_dir):
+    out = delete_repeats(documents(spark, sf_dir), long_words=LONG_WORDS)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

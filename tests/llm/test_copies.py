@@ -128,6 +128,35 @@ def test_repeated_lines(spark, sf_dir):
     assert got == brute.later_repeats(rows, 3)
 
 
+def test_long_passages_on_few_lines(spark, sf_dir):
+    """A run is RUN lines, or fewer with fifty words together."""
+    def kept(rows):
+        out = {}
+        places = {d: [(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")] for d, t in rows}
+        gone = {d: set() for d, _ in rows}
+        for run in (1, 2, 3):
+            first = {}
+            for d in sorted(places):
+                for s in range(len(places[d]) - run + 1):
+                    part = places[d][s:s + run]
+                    key = tuple(x for _, x in part)
+                    if run < 3 and sum(len(brute.WORDS.findall(x)) for x in key) < 50:
+                        continue
+                    a, b = first.setdefault(key, (d, s))
+                    if a != d or s >= b + run:
+                        gone[d].update(i for i, _ in part)
+        for d, t in rows:
+            out[d] = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[d])
+        return out
+    words = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 50), ("b", 49), ("c", 30), ("d", 25))]
+    rows = pairs(brute.documents(spark, sf_dir))
+    rows += [(5000, words[0]), (5001, " " + words[0] + "\nown"), (5002, words[1]), (5003, words[1] + "\n"), (5004, f"{words[2]}\n\n{words[3]}"), (5005, f"x\n{words[2]}\n{words[3]}\ny"),
+             (5006, f"{words[0]}\n{words[0]}\n{words[0]}"), (5007, None), (5008, "")]
+    got = {r.doc_id: r.kept_text for r in line_winnowing.delete_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), long_words=50).collect()}
+    assert got == kept(rows)
+    assert [got[5000 + i] for i in range(6)] == [words[0], "own", words[1], words[1] + "\n", f"{words[2]}\n\n{words[3]}", "x\ny"] and got[5006] == ""
+
+
 def test_repeated_lines_edges(spark):
     out = line_winnowing.delete_repeats(brute.edge_frame(spark))
     assert out.columns[-3:] == ["n_lines_", "n_removed", "kept_text_"] and out.count() == len(brute.edge_rows())
