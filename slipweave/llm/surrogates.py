@@ -10,7 +10,8 @@ Collision checks run over the table of distinct units: a surrogate that another
 drawn again with the next attempt. Attempts from WIDEN on lengthen the surrogate, so the loop ends also where all values of a form are taken.
 
 Texts without entities pass straight through without a shuffle; null stays null. Rows are met by (doc_id, hash of the text), so rows
-that share a doc_id do not mix, and repeated rows are replaced alike. Names count as such after an honorific. The key is a secret of the caller.
+that share a doc_id do not mix, and repeated rows are replaced alike. Names count as such after an honorific, secrets after a
+keyword in capitals or not; a phone number ends before a blank and an internet address. The key is a secret of the caller.
 """
 from __future__ import annotations
 
@@ -27,15 +28,16 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Го
 TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\b\.?"
 WORD = r"\p{Lu}[\p{L}\p{M}'’-]*+"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IP = rf"{OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"""(?<![A-Za-z0-9])(?:(?:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9_+/-]{8,}|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))""",
+    "secret": r"""(?<![A-Za-z0-9])(?:(?i:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9_+/-]{8,}|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))""",
     "name": rf"(?<![\p{{L}}\p{{N}}]){TITLE} {WORD}(?: {WORD}){{0,2}}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:(?: (?!{IP})|[.-]?)[0-9]{{2,4}}){{1,4}}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9.]){IP}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has one of; texts without it need no search.

@@ -163,6 +163,16 @@ def test_surrogates_are_distinct_consistent_and_typed(spark):
     assert shared.split("text ")[1] in next(r.clean_text for r in by[0] if r.text.startswith("Mr"))
 
 
+def test_secrets_in_capitals_and_addresses_after_phones(spark):
+    rows = [(1, 'TOKEN = "9233A8EC77B10D42" here'), (2, "PASSWORD=Abcdefgh12 and Api_Key: zyxwvuts99"), (3, "call +1 564 555 4000 10.2.223.204 now"), (4, "call +44 (20) 7946 0018 192.168.23.204, +1.564.555.4001"),
+            (5, "+1 564 555.4002 and +49 30 1234 5678")]
+    got = {r.doc_id: (r.n_entities, r.clean_text) for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i][0] for i in range(1, 6)] == [1, 2, 2, 3, 2]
+    for i, hidden in ((1, "9233A8EC"), (2, "Abcdefgh12"), (2, "zyxwvuts99"), (3, ".223.204"), (3, "4000"), (4, ".23.204"), (4, "0018"), (4, "4001"), (5, "4002"), (5, "5678")):
+        assert hidden not in got[i][1]
+    assert re.fullmatch(r'TOKEN = "[0-9A-Z]{16}" here', got[1][1]) and re.fullmatch(r"call \+1 \d{3} \d{3} \d{4} \d{2}\.\d\.\d{3}\.\d{3} now", got[3][1])
+
+
 def test_surrogates_of_a_crowded_form(spark):
     """All 256 last octets of width three and less: collisions are redrawn until all differ and none is real."""
     units = [("ssn", f"{i:03d}") for i in range(0, 1000, 2)]
