@@ -2,9 +2,10 @@
 
 Each text is compared with a reference of its declared language in two ways: the histogram of its character classes, and the
 histogram of the language's common words with all other words as one class. Both comparisons are Jensen-Shannon distances (base
-2, so between 0 and 1). The references are sums over all texts of the language; languages with less than 1/MIN_SHARE of all words, and rows
-without a language, use the reference of the whole corpus. Common words hold at least 1/COMMON of the words of their language, so a
-language has at most COMMON of them, and there are fewer than MIN_SHARE references at any size.
+2, so between 0 and 1). The references are sums over all texts of the language; rows without a language use the reference of the whole
+corpus. Common words hold at least 1/COMMON of the words of their language, so a language has at most COMMON of them. References of languages
+with at least 1/MIN_SHARE of all words, fewer than MIN_SHARE at any size, go to all tasks; those of all other languages, as many as there are, are a
+written table that only their rows meet.
 
 A distance counts only above a minimum length: MIN_CHARS characters for character classes, MIN_WORDS words for common words. The
 base rules judge words, symbols, repeated lines and repeated three-word windows. Null counts as empty: no words, so the base rules fail it.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from slipweave.llm.common import column, documents, stored
+from slipweave.llm.common import attach, column, documents, stored
 from slipweave.llm.registry import query
 
 #: Largest distances that pass.
@@ -136,9 +137,23 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return one.groupBy("lang", "kind", plain.alias("item")).agg(F.sum("n").alias("n"))
 
 
-def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """Per language: class counts, places of the common words, and their counts with those of all other words at the end."""
-    counts = stored(corpus_counts(texts))
+def reference(classes: dict[str, int], own: dict[str, int], total: int) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
+    """Class counts, places of the common words, and their counts with those of all other words at the end."""
+    return np.array([classes.get(c, 0) for c in CLASSES], float), {w: i for i, w in enumerate(own)}, np.array([*own.values(), total - sum(own.values())], float)
+
+
+def rare_references(counts: DataFrame, held: list[str]) -> DataFrame:
+    """(lang, total, words, classes): one row per language that is not held."""
+    rest = counts.filter(~F.col("lang").isin(*held, ALL))
+    totals = rest.groupBy("lang").agg(F.coalesce(F.sum(F.when(F.col("kind") == "word", F.col("n"))), F.lit(0)).alias("total"))
+    pair = F.struct((-F.col("n")).alias("n"), "item")
+    chosen = rest.join(totals, "lang").filter((F.col("kind") == "class") | ((F.col("n") * COMMON >= F.col("total")) & (F.col("item") != "")))
+    return chosen.groupBy("lang", "total").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "word", pair))).alias("words"), F.collect_list(F.when(F.col("kind") == "class", pair)).alias("classes"))
+
+
+def references(texts: DataFrame, counts: DataFrame | None = None) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
+    """The references of the languages with at least 1/MIN_SHARE of all words, and of the whole; ``counts`` are the stored corpus counts."""
+    counts = stored(corpus_counts(texts)) if counts is None else counts
     sums = counts.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("total"))
     whole = sums.agg(F.sum("total")).first()[0] or 0
     large = sums.filter((F.col("total") >= max(1, whole // MIN_SHARE)) & (F.col("lang") != ALL))
@@ -152,7 +167,7 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
     for lang, total in totals.items():
         own = {r["item"]: r["n"] for r in rows if r["lang"] == lang and r["kind"] == "word"}
         classes = {r["item"]: r["n"] for r in rows if r["lang"] == lang and r["kind"] == "class"}
-        out[lang] = (np.array([classes.get(c, 0) for c in CLASSES], float), {w: i for i, w in enumerate(own)}, np.array([*own.values(), total - sum(own.values())], float))
+        out[lang] = reference(classes, own, total)
     return out
 
 
@@ -164,30 +179,51 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     import pyarrow as pa
 
     given = docs.select(column(doc_id).alias("doc_id"), column(lang).alias("lang"), column(text).cast("string").alias("text"))
-    refs = references(given.select("lang", "text"))
-
-    def row_of(lang: str | None, text: str) -> tuple:
+    counts = stored(corpus_counts(given.select("lang", "text")))
+    refs = references(given.select("lang", "text"), counts)
+    held = [x for x in refs if x != ALL]
+    plain = F.col("lang").isNull() | F.col("lang").isin(*held, ALL)
+    rare = given.filter(~plain)
+    sizes = rare.groupBy("lang").agg(F.count("*").alias("rows"))
+    table = stored(rare_references(counts, held).join(sizes, "lang").select("lang", "rows", F.struct("total", "words", "classes").alias("ref")))
+    met = attach(rare, table, ["lang"], "rows", table.agg(F.sum("rows")).first()[0] or 0).select("doc_id", "lang", "text", "ref")
+    given = given.filter(plain).withColumn("ref", F.lit(None).cast(dict(table.dtypes)["ref"])).unionByName(met)
+
+    def row_of(ref: tuple, text: str) -> tuple:
         words = WORDS.findall(text)
         n = len(words)
         chars, n_symbols, dup, repeat = base_counts(text, words)
-        classes, common, reference = refs.get(lang, refs[ALL])
+        classes, common, counted = ref
         char = word = None
         if len(text) >= MIN_CHARS:
             char = round(distance(char_classes(text.encode()).astype(float), classes), 9)
         if n >= MIN_WORDS:
-            own, place = np.zeros(len(reference)), common.get
+            own, place = np.zeros(len(counted)), common.get
             for w, k in Counter(words).items():
                 own[place(normal(w), -1)] += k
-            word = round(distance(own, reference), 9)
+            word = round(distance(own, counted), 9)
         failed = n < MIN_BASE_WORDS or 100 * repeat > MAX_REPEATED_PERCENT * n
         return n, chars, n_symbols, dup, repeat, char, word, failed, not failed and (char is None or char <= max_char) and (word is None or word <= max_word)
 
     fields = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
               ("char_distance", pa.float64()), ("word_distance", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
 
+    rest: dict = {}
+
+    def ref_of(lang: str | None, own) -> tuple:
+        if not own.is_valid:
+            return refs.get(lang, refs[ALL])
+        if lang not in rest:
+            if len(rest) > MIN_SHARE:
+                rest.clear()
+            r = own.as_py()
+            rest[lang] = reference({c["item"]: -c["n"] for c in r["classes"]}, {w["item"]: -w["n"] for w in r["words"]}, r["total"])
+        return rest[lang]
+
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            rows = [row_of(x, t.as_py() or "") for x, t in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            given_refs = zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)
+            rows = [row_of(ref_of(x, ref), t.as_py() or "") for x, t, ref in given_refs]
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], t) for _, t in fields]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *[f for f, _ in fields]])
     kinds = {pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean"}

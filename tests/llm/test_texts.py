@@ -107,6 +107,22 @@ def test_references_are_whole_sums(spark, sf_dir):
     assert divergence.distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1.0 and divergence.distance(np.array([1.0, 3]), np.array([2.0, 6])) < 1e-7
 
 
+def test_rare_languages_have_their_own_reference(spark, sf_dir):
+    """Rare languages in other scripts, and more of them than MIN_SHARE, are judged by their own texts."""
+    rows = [(d, t, x) for d, t, x, _ in brute.documents(spark, sf_dir)]
+    rng = np.random.default_rng(6)
+    greek = "και το μια λέξη είναι στην πόλη με τους φίλους που ήρθαν από μακριά φορές ένα δρόμο θάλασσα σπίτι νύχτα".split()
+    rare = [(9100 + k, " ".join(rng.choice(greek, 90)), f"el{k // 2}") for k in range(140)] + [(9300, None, "xx"), (9301, "short", "yy")]
+    before = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows + rare, "doc_id bigint, text string, lang string").repartition(4)).collect()}
+    assert len(got) == len(rows) + len(rare) and all(got[d].kept for d, _, _ in rare[:140]) and not got[9300].kept
+    assert all(got[d] == before[d] for d, _, x in rows if x)
+    for k in (0, 77):
+        own = [t for _, t, x in rare if x == f"el{k // 2}"]
+        classes = sum(divergence.char_classes(t.encode()) for t in own).astype(float)
+        assert got[9100 + k].char_distance == round(divergence.distance(divergence.char_classes(rare[k][1].encode()).astype(float), classes), 9)
+
+
 def test_language_fusion(spark, sf_dir):
     docs = brute.documents(spark, sf_dir)
     hosts = ["a.example.fr", "b.example.fr", "www.site.de", "x.co", None, "src0"]
