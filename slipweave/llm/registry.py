@@ -5,7 +5,8 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["mixing", "simhash", "bpe", "bloom_dedup", "token_counts", "language", "run_index", "divergence", "line_winnowing", "surrogates"]
+MODULES = ["mixing", "simhash", "bpe", "bloom_dedup", "token_counts", "language", "run_index", "divergence", "line_winnowing", "surrogates",
+           "bit_clusters", "vector_copies", "prefix_trie"]
 
 
 def query(name: str, oracle: str | None = None):
