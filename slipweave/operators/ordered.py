@@ -102,18 +102,22 @@ def lookup(fact: DataFrame, groups: DataFrame, keys: list[str], applies: Column,
                                           for v in values])
 
 
-def reachable(successors: DataFrame, starts: DataFrame, keys: list[str], at: str, to: str) -> DataFrame:
+def reachable(successors: DataFrame, starts: DataFrame, keys: list[str], at: str, to: str, written: bool = False, doublings: int = 3) -> DataFrame:
     """(keys, at): the starts and all that follows them along ``successors`` (keys, at, to), which has one row per place and only leads on.
 
     Steps of doubled length are taken from all places found so far, so a chain of n places takes about log2(n) rounds of
-    joins over narrow rows, and no chain is followed in one task.
+    joins over narrow rows, and no chain is followed in one task. ``doublings`` rounds are one job, whose results are written. Successors that come from a
+    ``written`` table are not written again.
     """
     from slipweave.sources.sinks import materialize
 
-    jump, seen, known = materialize(successors.select(*keys, at, to)), materialize(starts.select(*keys, at).distinct()), -1
-    while (count := seen.count()) != known:
-        known = count
-        seen = materialize(seen.unionByName(seen.join(jump, [*keys, at]).select(*keys, F.col(to).alias(at))).distinct())
-        further = jump.select(*keys, F.col(at).alias(to), F.col(to).alias("_further"))
-        jump = materialize(jump.join(further, [*keys, to]).select(*keys, at, F.col("_further").alias(to)))
-    return seen
+    jump, seen = successors.select(*keys, at, to), starts.select(*keys, at)
+    if not written:
+        jump, seen = materialize(jump), materialize(seen)
+    while not jump.isEmpty():
+        for _ in range(doublings):
+            seen = seen.unionByName(seen.join(jump, [*keys, at]).select(*keys, F.col(to).alias(at)))
+            further = jump.select(*keys, F.col(at).alias(to), F.col(to).alias("_further"))
+            jump = jump.join(further, [*keys, to]).select(*keys, at, F.col("_further").alias(to))
+        seen, jump = materialize(seen.distinct()), materialize(jump)
+    return seen.distinct()

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from slipweave.operators.ordered import BLOCK, running_max_before, running_total, with_neighbours, with_ordinal
+from slipweave.sources.sinks import materialize
 
 KEY = ["series_id"]
 #: Sums between positions are differences of running totals, so values are summed as whole millionths.
@@ -50,11 +51,12 @@ def matrix_row_stats(cells: DataFrame, keys: list[str], value: str) -> DataFrame
     return g.select(*keys, "cells", mean.alias("avg"), (F.col("_q").cast("double") / F.col("cells") - mean * mean).alias("variance"))
 
 
-def runs(rows: DataFrame, flag: Column, block: int = BLOCK) -> DataFrame:
-    """series_id, start, end (inclusive), rows of the maximal runs of flagged positions."""
-    hit = with_ordinal(rows.filter(flag).select(*KEY, "y"), "y", "_n", KEY, block)
+def runs(rows: DataFrame, flag: Column, block: int = BLOCK, widest: str | None = None) -> DataFrame:
+    """series_id, start, end (inclusive), rows of the maximal runs of flagged positions, and ``span``, the maximum of the column ``widest``."""
+    more = [] if widest is None else [F.col(widest).alias("_wide")]
+    hit = with_ordinal(rows.filter(flag).select(*KEY, "y", *more), "y", "_n", KEY, block)
     return (hit.groupBy(*KEY, (F.col("y") - F.col("_n")).alias("_island")).agg(
-        F.min("y").alias("start"), F.max("y").alias("end"), F.count("*").alias("rows")).drop("_island"))
+        F.min("y").alias("start"), F.max("y").alias("end"), F.count("*").alias("rows"), *[F.max("_wide").alias("span") for _ in more]).drop("_island"))
 
 
 def series_length(rows: DataFrame) -> DataFrame:
@@ -86,18 +88,18 @@ def quiet_bands(rows: DataFrame, quiet: Column, score: Column, min_rows: int = 1
                 block: int = BLOCK) -> DataFrame:
     """Merged quiet bands away from the margins, with centre and mean score."""
     found = runs(rows, quiet, block).join(series_length(rows), KEY)
-    kept = found.filter((F.col("rows") >= min_rows) & (F.col("start") > margin) & (F.col("end") + 1 < F.col("height") - margin))
-    merged = merge_gaps(kept.select(*KEY, "start", "end"), gap, block)
+    kept = materialize(found.filter((F.col("rows") >= min_rows) & (F.col("start") > margin) & (F.col("end") + 1 < F.col("height") - margin)).select(*KEY, "start", "end"))
+    merged = materialize(merge_gaps(kept, gap, block))
     scored = totals_between(rows, merged, {"_score": score}, block)
     return scored.select(*KEY, "start", "end", F.floor((F.col("start") + F.col("end")) / 2 + 0.5).cast("bigint").alias("centre"),
                          (F.col("_score") / (F.col("end") - F.col("start") + 1)).alias("score"))
 
 
-def content_runs(rows: DataFrame, active: Column, min_rows: int = 5, block: int = BLOCK) -> DataFrame:
-    """top, bottom (exclusive) of active runs; a run that reaches the end is kept whatever its length."""
-    found = runs(rows, active, block).join(series_length(rows), KEY)
+def content_runs(rows: DataFrame, active: Column, min_rows: int = 5, block: int = BLOCK, widest: str | None = None) -> DataFrame:
+    """top, bottom (exclusive) of active runs, with ``span`` as runs have it; a run that reaches the end is kept whatever its length."""
+    found = runs(rows, active, block, widest).join(series_length(rows), KEY)
     return found.filter((F.col("rows") >= min_rows) | (F.col("end") + 1 == F.col("height"))).select(
-        *KEY, F.col("start").alias("top"), (F.col("end") + 1).alias("bottom"))
+        *KEY, F.col("start").alias("top"), (F.col("end") + 1).alias("bottom"), *(["span"] if widest else []))
 
 
 def protected_regions(bands: DataFrame, heights: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -123,18 +125,30 @@ def safe_valleys(rows: DataFrame, gaps: DataFrame, min_gap: int, solid: Column,
                                     & (F.col("_act") <= max_mean * size)).alias("safe"))
 
 
+def safe_gaps(rows: DataFrame, fragments: DataFrame, min_gap: int, solid: Column, wide: Column, share: float = 0.85,
+              max_mean: float = 0.006, block: int = BLOCK) -> DataFrame:
+    """Fragments (series_id, top, bottom, ...) with their number, the end of the one before and ``safe``, whether the gap between is a safe valley."""
+    numbered = materialize(with_ordinal(fragments, "top", "fragment_no", KEY, block))
+    prev = materialize(with_neighbours(numbered, KEY, "fragment_no", 1, 0, {"above": lambda w: F.lag("bottom").over(w)}, block))
+    gaps = prev.filter(F.col("above").isNotNull()).select(*KEY, "fragment_no", F.col("above").alias("start"), (F.col("top") - 1).alias("end"))
+    safe = safe_valleys(rows, gaps, min_gap, solid, wide, share, max_mean, block).select(*KEY, "fragment_no", "safe")
+    return materialize(prev.join(safe, [*KEY, "fragment_no"], "left").withColumn("safe", F.coalesce("safe", F.lit(False))))
+
+
+def listed_fragments(rows: DataFrame, fragments: DataFrame, max_gap: int, min_gap: int, solid: Column, wide: Column,
+                     max_mean: float = 0.006, block: int = BLOCK) -> DataFrame:
+    """The fragments with ``object_no``, the object they are merged into: consecutive fragments (top, bottom) become one object unless the gap is large or a safe valley."""
+    beside = safe_gaps(rows, fragments, min_gap, solid, wide, max_mean=max_mean, block=block)
+    fresh = F.when(F.col("above").isNull() | (F.col("top") - F.col("above") > max_gap) | F.col("safe"), 1).otherwise(0)
+    return running_total(beside, KEY, "fragment_no", {"object_no": fresh}, block).drop("above", "safe")
+
+
 def merge_fragments(rows: DataFrame, fragments: DataFrame, max_gap: int, min_gap: int, solid: Column, wide: Column,
                     max_mean: float = 0.006, block: int = BLOCK) -> DataFrame:
-    """Consecutive fragments (top, bottom) become one object unless the gap is large or a safe valley;
-    the fragments stay listed."""
-    numbered = with_ordinal(fragments, "top", "_n", KEY, block)
-    prev = with_neighbours(numbered, KEY, "_n", 1, 0, {"_prev": lambda w: F.lag("bottom").over(w)}, block)
-    gaps = prev.filter(F.col("_prev").isNotNull()).select(*KEY, "_n", F.col("_prev").alias("start"), (F.col("top") - 1).alias("end"))
-    safe = safe_valleys(rows, gaps, min_gap, solid, wide, max_mean=max_mean, block=block).select(*KEY, "_n", "safe")
-    j = prev.join(safe, [*KEY, "_n"], "left")
-    fresh = F.when(F.col("_prev").isNull() | (F.col("top") - F.col("_prev") > max_gap) | F.coalesce("safe", F.lit(False)), 1).otherwise(0)
-    grouped = running_total(j, KEY, "_n", {"_g": fresh}, block)
-    return grouped.groupBy(*KEY, "_g").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count("*").alias("fragments")).drop("_g")
+    """series_id, object_no, top, bottom, fragments (how many), fragment_top, fragment_bottom: one row per fragment, under the object it belongs to."""
+    listed = materialize(listed_fragments(rows, fragments, max_gap, min_gap, solid, wide, max_mean, block))
+    whole = listed.groupBy(*KEY, "object_no").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count("*").alias("fragments"))
+    return listed.select(*KEY, "object_no", F.col("top").alias("fragment_top"), F.col("bottom").alias("fragment_bottom")).join(whole, [*KEY, "object_no"])
 
 
 def best_cuts(smooth: DataFrame, targets: DataFrame, up: int = 420, down: int = 30, weight: float = 20.0, pull: float = 0.08,

@@ -7,8 +7,9 @@ from slipweave.operators import layout as L
 from slipweave.operators import series as S
 from slipweave.operators.ordered import running_total, with_neighbours, with_ordinal
 from slipweave.plans.registry import query
-from slipweave.plans.series_windows import QUIET, ROWS, RUNS, bands, content, rows
+from slipweave.plans.series_windows import BANDS, FRAGMENTS, QUIET, ROWS, RUNS, bands, content, fragments, heights, rows
 from slipweave.sources import feeds
+from slipweave.sources.sinks import materialize
 from slipweave.sources.tables import documents, table
 
 SCALES = "[" + ", ".join(f"'{s!r}'::DOUBLE" for s in L.shrink_scales()) + "]"
@@ -26,37 +27,56 @@ OBJECTS = """t AS (SELECT conv_id, turn, CAST(56 + 22 * ceil(length(text) / 48.0
 o AS (SELECT conv_id, turn AS object_id, coalesce(sum(height + 28) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y_top, height FROM t),
 obj AS (SELECT conv_id, object_id, CAST(y_top AS BIGINT) AS y_top, CAST(y_top + height AS BIGINT) AS y_bottom FROM o)
 """
-PAGES = f"""WITH RECURSIVE {OBJECTS},
-st AS (SELECT conv_id, object_id AS i, 1 AS page_no, CAST(0 AS BIGINT) AS y_start, y_bottom + 18 AS cut,
-    coalesce(list_filter({SCALES}, lambda s: (y_bottom + 18) * s <= 1106)[1], {SCALES}[-1]) AS scale FROM obj WHERE object_id = 0
-  UNION ALL SELECT conv_id, i, CASE WHEN ok THEN page_no ELSE page_no + 1 END, CASE WHEN ok THEN y_start ELSE greatest(cut, y_top - 14) END, padded,
-    CASE WHEN ok THEN s1 ELSE coalesce(list_filter({SCALES}, lambda s: (padded - greatest(cut, y_top - 14)) * s <= 1106)[1], {SCALES}[-1]) END
-  FROM (SELECT *, projected <= 1131 OR (h <= 180 AND projected <= 1355) OR (fits AND NOT ((vis < 0.25 AND s1 < 0.9) OR (vis < 0.45 AND s1 < 0.78) OR (used >= 1106 * 0.9 AND s1 < 0.72))
-          AND (used <= 1106 * 0.3 OR (vis >= 0.5 AND s1 >= 0.55) OR s1 >= 0.6 OR vis >= 0.65)) AS ok
-    FROM (SELECT st.conv_id, obj.object_id AS i, page_no, y_start, cut, y_top, y_bottom + 18 AS padded, y_bottom + 18 - y_start AS projected, y_bottom - y_top AS h, cut - y_start AS used,
-          greatest(0, 1106 - (cut - y_start)) / CAST(y_bottom - y_top AS DOUBLE) AS vis, len(list_filter({SCALES}, lambda s: (y_bottom + 18 - y_start) * s <= 1106)) > 0 AS fits,
-          coalesce(list_filter({SCALES}, lambda s: (y_bottom + 18 - y_start) * s <= 1106)[1], {SCALES}[-1]) AS s1
-        FROM st JOIN obj ON obj.conv_id = st.conv_id AND obj.object_id = st.i + 1))),
-pages AS (SELECT conv_id, page_no, min(y_start) AS y_start, max(cut) AS y_end, arg_max(scale, i) AS scale, count(*) AS objects, string_agg(i, '|' ORDER BY i) AS object_ids FROM st GROUP BY conv_id, page_no)
+
+
+def tight_objects(spark, sf_dir):
+    """Objects with gaps of 4, 16 and 28, some lower than the padding below a page."""
+    t = feeds.turns(spark, sf_dir).select("conv_id", "turn", F.when(F.col("turn") % 5 == 3, 10).otherwise(F.col("height")).cast("bigint").alias("height"), (4 + 12 * (F.col("turn") % 3)).alias("gap"))
+    stacked = running_total(t, ["conv_id"], "turn", {"y_top": F.col("height") + F.col("gap")}, exclusive=True)
+    return materialize(stacked.select("conv_id", F.col("turn").cast("bigint").alias("object_id"), "y_top", (F.col("y_top") + F.col("height")).alias("y_bottom")))
+
+
+def tight_pages(spark, sf_dir):
+    """Pages of the objects; the content ends 9 below the last one."""
+    o = tight_objects(spark, sf_dir)
+    return L.pack_pages(o, heights=o.groupBy("conv_id").agg((F.max("y_bottom") + 9).alias("height")))
+
+
+PAGES = f"""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN 10 ELSE CAST(56 + 22 * ceil(length(text) / 48.0) AS BIGINT) END AS height, 4 + 12 * (turn % 3) AS gap FROM conversations),
+o AS (SELECT conv_id, turn AS object_id, row_number() OVER w AS n, CAST(sum(height + gap) OVER w - height - gap AS BIGINT) AS y_top, height FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+obj AS (SELECT conv_id, object_id, n, y_top, y_top + height AS y_bottom FROM o),
+ht AS (SELECT conv_id, max(y_bottom) + 9 AS content, max(n) AS most FROM obj GROUP BY conv_id),
+fi AS (SELECT e.conv_id, e.n AS after, least(content, e.y_bottom + 18) AS cut, min(f.n) AS first FROM obj e JOIN ht USING (conv_id) JOIN obj f ON f.conv_id = e.conv_id AND f.y_bottom > least(content, e.y_bottom + 18) GROUP BY ALL),
+st AS (SELECT fi.conv_id, after, first, greatest(cut, y_top - 14) AS s FROM fi JOIN obj ON obj.conv_id = fi.conv_id AND obj.n = first UNION ALL SELECT conv_id, 0, 1, 0 FROM ht),
+lk AS (SELECT st.*, f.n, f.y_bottom + 18 - s AS projected, f.y_bottom - f.y_top AS h, p.y_bottom + 18 - s AS used FROM st JOIN obj f ON f.conv_id = st.conv_id AND f.n > st.first JOIN obj p ON p.conv_id = f.conv_id AND p.n = f.n - 1),
+sc AS (SELECT *, list_filter({SCALES}, lambda x: projected * x <= 1106)[1] AS s1, greatest(0, 1106 - used) / CAST(h AS DOUBLE) AS vis FROM lk),
+re AS (SELECT conv_id, after, min(n) AS refused FROM sc WHERE NOT (projected <= 1131 OR (h <= 180 AND projected <= 1355) OR (s1 IS NOT NULL AND s1 >= 0.5 AND NOT ((vis < 0.25 AND s1 < 0.9) OR (vis < 0.45 AND s1 < 0.78) OR (used >= 1106 * 0.9 AND s1 < 0.72))
+          AND (used <= 1106 * 0.3 OR (vis >= 0.5 AND s1 >= 0.55) OR s1 >= 0.6 OR vis >= 0.65))) GROUP BY ALL),
+nx AS (SELECT st.*, coalesce(refused - 1, most) AS last FROM st JOIN ht USING (conv_id) LEFT JOIN re ON re.conv_id = st.conv_id AND re.after = st.after),
+pg AS (SELECT conv_id, 1 AS page_no, s, last FROM nx WHERE after = 0 UNION ALL SELECT pg.conv_id, page_no + 1, nx.s, nx.last FROM pg JOIN nx ON nx.conv_id = pg.conv_id AND nx.after = pg.last),
+pe AS (SELECT pg.conv_id, page_no, s, least(content, y_bottom + 18) AS e, coalesce(list_filter({SCALES}, lambda x: (y_bottom + 18 - s) * x <= 1106)[1], {SCALES}[-1]) AS scale
+  FROM pg JOIN ht USING (conv_id) JOIN obj ON obj.conv_id = pg.conv_id AND obj.n = pg.last),
+pages AS (SELECT pe.conv_id, page_no, s AS y_start, e AS y_end, scale, count(n) AS objects, coalesce(string_agg(object_id, '|' ORDER BY n), '') AS object_ids
+  FROM pe LEFT JOIN obj ON obj.conv_id = pe.conv_id AND y_top >= s AND y_bottom <= e GROUP BY ALL)
 """
 
 
 @query("lay_page_pack", PAGES + "SELECT * FROM pages")
 def lay_page_pack(spark, sf_dir):
-    return L.pack_pages(objects(spark, sf_dir))
+    return tight_pages(spark, sf_dir)
 
 
 @query("lay_tail_merge", PAGES + """,
 mg AS (SELECT conv_id, page_no AS i, 1 AS no, y_start, y_end, scale, object_ids, objects, y_end - y_start AS height, 0 AS merged FROM pages WHERE page_no = 1
   UNION ALL SELECT conv_id, i, CASE WHEN ok THEN no ELSE no + 1 END, CASE WHEN ok THEN ps ELSE s END, CASE WHEN ok THEN greatest(pe, e) ELSE e END,
-    CASE WHEN ok THEN least(psc, sc) ELSE sc END, CASE WHEN ok THEN pids || '|' || ids ELSE ids END, CASE WHEN ok THEN po + ob ELSE ob END, CASE WHEN ok THEN ph + h ELSE h END, CASE WHEN ok THEN pm + 1 ELSE 0 END
+    CASE WHEN ok THEN least(psc, sc) ELSE sc END, CASE WHEN ok THEN concat_ws('|', nullif(pids, ''), nullif(ids, '')) ELSE ids END, CASE WHEN ok THEN po + ob ELSE ob END, CASE WHEN ok THEN ph + h ELSE h END, CASE WHEN ok THEN pm + 1 ELSE 0 END
   FROM (SELECT mg.conv_id, p.page_no AS i, no, mg.y_start AS ps, mg.y_end AS pe, mg.scale AS psc, mg.object_ids AS pids, mg.objects AS po, mg.height AS ph, mg.merged AS pm, p.y_start AS s, p.y_end AS e, p.scale AS sc,
       p.object_ids AS ids, p.objects AS ob, p.y_end - p.y_start AS h, (p.y_end - p.y_start) <= 180 OR ((p.y_end - p.y_start) <= 464 AND mg.height + p.y_end - p.y_start <= 1719) AS ok
     FROM mg JOIN pages p ON p.conv_id = mg.conv_id AND p.page_no = mg.i + 1))
 SELECT conv_id, no AS page_no, arg_max(y_start, i) AS y_start, arg_max(y_end, i) AS y_end, arg_max(scale, i) AS scale, arg_max(objects, i) AS objects, arg_max(object_ids, i) AS object_ids,
   arg_max(height, i) AS height, arg_max(merged, i) AS merged FROM mg GROUP BY conv_id, no""")
 def lay_tail_merge(spark, sf_dir):
-    return L.merge_tails(L.pack_pages(objects(spark, sf_dir)))
+    return L.merge_tails(tight_pages(spark, sf_dir))
 
 
 def object_rows(spark, sf_dir):
@@ -106,42 +126,86 @@ def lay_shrink_fit(spark, sf_dir):
 SELECT series_id, cut FROM sp UNION SELECT series_id, height FROM h""")
 def lay_split_points(spark, sf_dir):
     zones = content(spark, sf_dir).select("series_id", F.col("top").alias("start"), F.col("bottom").alias("end"))
-    return L.split_points(zones, S.series_length(rows(spark, sf_dir)), 15)
+    return L.split_points(zones, heights(spark, sf_dir), 15)
 
 
-@query("lay_gap_cut")
-def lay_gap_cut(spark, sf_dir):
+#: The next cut of every ideal row, by plain joins; the chain from row 0 is recursive.
+GAP_CUTS = ROWS.replace("WITH d AS", "WITH RECURSIVE d AS") + """, s AS (SELECT series_id, y, activity, height, sum(activity) OVER w / count(*) OVER w AS smooth FROM r JOIN h USING (series_id)
+  WINDOW w AS (PARTITION BY series_id ORDER BY y ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+q AS (SELECT t.series_id, t.y, min({'c': CAST(floor(s.smooth * 20000000 + 0.5) AS BIGINT) + 80000 * abs(s.y - t.y), 'y': s.y}) AS best FROM r t JOIN s ON s.series_id = t.series_id AND s.y BETWEEN t.y - 8 AND t.y + 3
+  WHERE s.smooth < 150 AND s.y <= s.height - 2 GROUP BY ALL),
+l AS (SELECT series_id, y, activity, max(CASE WHEN activity < 150 THEN y END) OVER w AS calm, max(CASE WHEN activity >= 150 THEN y END) OVER w AS p FROM r WINDOW w AS (PARTITION BY series_id ORDER BY y)),
+a AS (SELECT l.series_id, l.y, l.p, coalesce(b.calm, -1) + 1 AS block FROM l LEFT JOIN l b ON b.series_id = l.series_id AND b.y = l.p),
+n AS (SELECT a.series_id, a.y - 20 AS at, CASE WHEN best IS NOT NULL THEN best.y WHEN p > a.y - 19 THEN least(a.y, greatest(a.y - 19, greatest(a.y - 19, block - 1) + 1 - 2)) ELSE greatest(a.y - 19, a.y) END AS cut,
+    CASE WHEN best IS NOT NULL THEN 'gap_valley' ELSE 'fallback_rollback' END AS method, CASE WHEN best IS NOT NULL THEN greatest(0, 100000000 - best.c) ELSE 0 END AS q
+  FROM a LEFT JOIN q USING (series_id, y) WHERE a.y >= 20),
+f AS (SELECT h.series_id, 1 AS cut_no, 0 AS at, coalesce(cut, height) AS y, coalesce(method, 'end_of_image') AS method, coalesce(q, 100000000) / 1000000 AS quality FROM h LEFT JOIN n ON n.series_id = h.series_id AND n.at = 0
+  UNION ALL SELECT f.series_id, cut_no + 1, f.y, coalesce(n.cut, height), coalesce(n.method, 'end_of_image'), coalesce(n.q, 100000000) / 1000000 FROM f JOIN h USING (series_id) LEFT JOIN n ON n.series_id = f.series_id AND n.at = f.y
+  WHERE f.method <> 'end_of_image')
+"""
+BEST_SCALE = f"coalesce(list_filter({LINEAR}, lambda s: (f.y - f.at) * 0.81::DOUBLE * s <= 895.000001)[1], {LINEAR}[-1])"
+
+
+def gap_cuts(spark, sf_dir):
     r = rows(spark, sf_dir)
-    smooth = S.smooth_box(r).select("series_id", "y", "activity", "smooth").join(S.series_length(r), "series_id")
+    smooth = S.smooth_box(r).select("series_id", "y", "activity", "smooth").join(heights(spark, sf_dir), "series_id")
     return L.gap_cuts(smooth, usable=20, up=8, down=3, tail=2, quiet=150.0, padding=2)
 
 
-@query("lay_safe_cut_shrink")
+@query("lay_gap_cut", GAP_CUTS + f"SELECT series_id, cut_no, y, method, quality, {BEST_SCALE} AS scale FROM f")
+def lay_gap_cut(spark, sf_dir):
+    return gap_cuts(spark, sf_dir)
+
+
+_STEPS = L.page_scales(0.82)
+_LENGTHS = "[" + ", ".join(str(L.rounded(30 / s)) for s in _STEPS) + "]"
+_STEP_SCALES = "[" + ", ".join(f"'{s!r}'::DOUBLE" for s in _STEPS) + "]"
+#: The next state (row, step of the scale) of every state, by plain joins; the chain from row 0 at full scale is recursive.
+SAFE_CUTS = BANDS.replace("WITH d AS", "WITH RECURSIVE d AS") + f""", tg AS (SELECT series_id, unnest(range(1, height + 1)) AS t FROM h),
+nr AS (SELECT tg.series_id, t, coalesce(max(centre) FILTER (centre BETWEEN t - 8 AND t), min(centre) FILTER (centre > t AND centre <= t + 4)) AS c FROM tg JOIN bands USING (series_id) GROUP BY ALL),
+sl AS (SELECT series_id, height, y, i, least({_LENGTHS}[i + 1], height - y) AS len FROM (SELECT series_id, height, y, unnest(range(0, {len(_STEPS)})) AS i FROM (SELECT series_id, height, unnest(range(0, height)) AS y FROM h))),
+hi AS (SELECT sl.*, c FROM sl LEFT JOIN nr ON nr.series_id = sl.series_id AND t = y + len),
+fs AS (SELECT b.series_id, b.height, b.y, b.i, b.len, min({{'i': e.i, 'c': e.c}}) FILTER (e.c IS NOT NULL) AS hit FROM hi b JOIN hi e ON e.series_id = b.series_id AND e.y = b.y AND e.i >= b.i GROUP BY ALL),
+nx AS (SELECT series_id, height, y, i, len, coalesce(hit.c, y + len) AS e, coalesce(hit.i, {len(_STEPS) - 1}) AS j, CASE WHEN hit IS NULL THEN 'EMERGENCY' WHEN hit.i = i THEN 'SAFE_ZONE' ELSE 'SMART_SHRINK' END AS method FROM fs),
+cl AS (SELECT *, CASE WHEN e > y + 4 THEN e WHEN y > 0 AND height - y <= 4 THEN height ELSE least(height, y + greatest(4, len)) END AS stop FROM nx),
+z AS (SELECT series_id, 1 AS slice_no, y, stop, method, j, height FROM cl WHERE y = 0 AND i = 0
+  UNION ALL SELECT z.series_id, slice_no + 1, cl.y, cl.stop, cl.method, cl.j, z.height FROM z JOIN cl ON cl.series_id = z.series_id AND cl.y = z.stop AND cl.i = z.j WHERE z.stop < z.height)
+"""
+
+
+def safe_cut_slices(spark, sf_dir):
+    return L.safe_cut_slices(bands(spark, sf_dir), heights(spark, sf_dir), page=30, up=8, down=4, min_slice=4)
+
+
+@query("lay_safe_cut_shrink", SAFE_CUTS + f"SELECT series_id, slice_no, y AS y_start, stop AS y_end, method, {_STEP_SCALES}[j + 1] AS scale FROM z")
 def lay_safe_cut_shrink(spark, sf_dir):
-    return L.safe_cut_slices(bands(spark, sf_dir), S.series_length(rows(spark, sf_dir)), page=30, up=8, down=4, min_slice=4)
+    return safe_cut_slices(spark, sf_dir)
 
 
-@query("agg_cut_methods", ROWS + """, s AS (SELECT series_id, y, sum(activity) OVER w / count(*) OVER w AS smooth FROM r
-  WINDOW w AS (PARTITION BY series_id ORDER BY y ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
-t AS (SELECT series_id, unnest(range(12, height, 12)) AS ideal FROM h),
-b AS (SELECT t.series_id, ideal, min(smooth * 20.0 + abs(y - ideal) * 0.08) FILTER (smooth < 150) AS score FROM t JOIN s ON s.series_id = t.series_id AND y BETWEEN ideal - 8 AND ideal + 3 GROUP BY ALL)
-SELECT CASE WHEN score IS NULL THEN 'fallback_rollback' ELSE 'gap_valley' END AS method, count(*) AS n, CAST(sum(CAST(floor(coalesce(greatest(0.0, 100.0 - score), 0) * 1000) AS BIGINT)) AS DOUBLE) / count(*) / 1000 AS mean_quality FROM b GROUP BY 1""")
+@query("agg_cut_methods", GAP_CUTS.replace("f AS (", "gc AS (", 1).replace("FROM f JOIN h", "FROM gc f JOIN h") + SAFE_CUTS[SAFE_CUTS.index(", q AS (") :].replace("q AS (", "qb AS (", 1).replace("FROM q GROUP", "FROM qb GROUP") + """
+SELECT 'gap' AS loop, method, count(*) AS n, CAST(sum(CAST(round(quality * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 AS mean_quality FROM gc GROUP BY method
+UNION ALL SELECT 'safe', method, count(*), NULL FROM z GROUP BY method""")
 def agg_cut_methods(spark, sf_dir):
-    r = rows(spark, sf_dir)
-    targets = S.series_length(r).filter("height > 12").select("series_id", F.explode(F.expr("sequence(12L, height - 1, 12L)")).alias("ideal"))
-    cuts = targets.join(S.best_cuts(S.smooth_box(r), targets, 8, 3, quiet=150.0), ["series_id", "ideal"], "left")
-    method = F.when(F.col("cut").isNull(), "fallback_rollback").otherwise("gap_valley")
-    quality = F.floor(F.coalesce("quality", F.lit(0.0)) * 1000)
-    return cuts.groupBy(method.alias("method")).agg(F.count("*").alias("n"), (F.sum(quality).cast("double") / F.count("*") / 1000).alias("mean_quality"))
+    """How often the two cut loops used each of their methods, and the mean quality of their cuts."""
+    gap, safe = (L.cut_counts(cuts(spark, sf_dir)).select(F.lit(name).alias("loop"), "*") for name, cuts in (("gap", gap_cuts), ("safe", safe_cut_slices)))
+    return gap.unionByName(safe)
+
 
+SPLIT = dict(tallest=6, least_part=3, gap=1, wide_gap=2, wide_span=400, media_span=250, media_gap=1)
 
-@query("lay_split_oversized")
+
+@query("lay_split_oversized", FRAGMENTS.replace("WITH d AS", "WITH RECURSIVE d AS") + """, v AS (SELECT series_id, object_no, hi AS top, bottom, span, row_number() OVER w AS n, lag(bottom) OVER w AS above, lag(span) OVER w AS sa,
+    hi - lo >= 1 AND wider = 0 AND solid >= 0.85 * (hi - lo) AND act <= 90.0 * (hi - lo) AS safe FROM g WINDOW w AS (PARTITION BY series_id, object_no ORDER BY hi)),
+ok AS (SELECT * FROM v WHERE above IS NOT NULL AND safe AND top - above >= CASE WHEN greatest(span, sa) >= 400 THEN 2 ELSE 1 END AND NOT (least(span, sa) >= 250 AND top - above <= 1)),
+nt AS (SELECT v.series_id, v.object_no, v.n, min(ok.n) AS next FROM v JOIN ok ON ok.series_id = v.series_id AND ok.object_no = v.object_no AND ok.n > v.n AND ok.bottom - v.top > 6 AND ok.above - v.top >= 3 GROUP BY ALL),
+hd AS (SELECT series_id, object_no, n, 1 AS part FROM v WHERE n = 1 UNION ALL SELECT hd.series_id, hd.object_no, next, part + 1 FROM hd JOIN nt ON nt.series_id = hd.series_id AND nt.object_no = hd.object_no AND nt.n = hd.n),
+pt AS (SELECT v.series_id, v.object_no, v.n, v.top, v.bottom, max(part) AS part FROM v JOIN hd ON hd.series_id = v.series_id AND hd.object_no = v.object_no AND hd.n <= v.n GROUP BY ALL)
+SELECT series_id, object_no, part, min(top) AS top, max(bottom) AS bottom, count(*) AS fragments FROM pt GROUP BY ALL""")
 def lay_split_oversized(spark, sf_dir):
-    """Conversations as one tall object whose fragments are the turns; every third gap is a safe valley."""
-    o = objects(spark, sf_dir)
-    frag = o.select(F.col("conv_id").alias("series_id"), F.lit(0).cast("bigint").alias("object_no"), F.col("y_top").alias("top"), F.col("y_bottom").alias("bottom"),
-                    (F.col("object_id") % 5 * 100 + 100).alias("span"), (F.col("object_id") % 3 != 1).alias("safe"))
-    return L.split_oversized(frag)
+    """The merged objects, cut where their gaps are valleys by a wider measure than the one that kept them together."""
+    listed = materialize(fragments(spark, sf_dir).select("series_id", "object_no", "top", "bottom", "span"))
+    beside = S.safe_gaps(rows(spark, sf_dir), listed, 1, F.col("activity") < QUIET, F.col("activity") > 100, max_mean=90.0)
+    return L.split_oversized(beside, L.SplitLimits(**SPLIT))
 
 
 @query("join_object_in_page", f"""WITH {OBJECTS}, p AS (SELECT conv_id, unnest(range(0, max(y_bottom) // 500 + 1)) AS page_no FROM obj GROUP BY conv_id)
@@ -174,21 +238,21 @@ def lay_overlap_trim(spark, sf_dir):
     return L.overlap_lengths(own.unionByName(borrowed), order)
 
 
-@query("lay_validate", """WITH p AS (SELECT conv_id, page_no, page_no * 100 - CASE WHEN conv_id % 7 = 0 THEN 5 ELSE 0 END AS y_start,
-   (page_no + 1) * 100 - CASE WHEN conv_id % 11 = 0 THEN 200 ELSE 0 END AS y_end, CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 6 = 0 THEN 'same' ELSE 'o' || page_no END AS object_ids
-   FROM (SELECT doc_id AS conv_id, unnest(range(1, 2 + doc_id % 4)) AS page_no FROM documents)),
-x AS (SELECT *, lead(y_start) OVER (PARTITION BY conv_id ORDER BY page_no) AS nx FROM p)
+@query("lay_validate", PAGES + """, p AS (SELECT conv_id, page_no, y_start, CASE WHEN conv_id % 11 = 0 THEN y_start WHEN conv_id % 7 = 0 THEN y_end + 40 ELSE y_end END AS y_end,
+   CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 6 = 0 THEN '0' ELSE object_ids END AS object_ids FROM pages),
+x AS (SELECT *, lead(y_start) OVER (PARTITION BY conv_id ORDER BY page_no) AS nx FROM p),
+i AS (SELECT conv_id, page_no, unnest(string_split(object_ids, '|')) AS id FROM x WHERE object_ids <> '')
 SELECT conv_id, page_no, 'overlap' AS rule, CAST(y_end - nx AS VARCHAR) AS detail FROM x WHERE y_end > nx
 UNION ALL SELECT conv_id, page_no, 'range', CAST(y_end - y_start AS VARCHAR) FROM x WHERE y_end <= y_start
 UNION ALL SELECT conv_id, page_no, 'empty', CAST(y_end - y_start AS VARCHAR) FROM x WHERE object_ids = '' AND y_end - y_start > 80
-UNION ALL SELECT conv_id, max(page_no), 'duplicate', object_ids FROM x WHERE object_ids <> '' GROUP BY conv_id, object_ids HAVING count(*) > 1""")
+UNION ALL SELECT conv_id, max(page_no), 'duplicate', id FROM i GROUP BY conv_id, id HAVING count(*) > 1""")
 def lay_validate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"))
-    p = docs.select("conv_id", F.explode(F.expr("sequence(1L, 1 + conv_id % 4)")).alias("page_no"))
-    pages = p.select("conv_id", "page_no", (F.col("page_no") * 100 - F.when(F.col("conv_id") % 7 == 0, 5).otherwise(0)).alias("y_start"),
-                     ((F.col("page_no") + 1) * 100 - F.when(F.col("conv_id") % 11 == 0, 200).otherwise(0)).alias("y_end"),
-                     F.when(F.col("conv_id") % 5 == 0, "").when(F.col("conv_id") % 6 == 0, "same").otherwise(F.concat(F.lit("o"), F.col("page_no").cast("string"))).alias("object_ids"))
-    return L.validate_pages(pages)
+    """The packer's pages, of which some are lengthened, flattened or given wrong ids."""
+    conv = F.col("conv_id")
+    y_end = F.when(conv % 11 == 0, F.col("y_start")).when(conv % 7 == 0, F.col("y_end") + 40).otherwise(F.col("y_end"))
+    ids = F.when(conv % 5 == 0, "").when(conv % 6 == 0, "0").otherwise(F.col("object_ids"))
+    pages = tight_pages(spark, sf_dir).select("conv_id", "page_no", "y_start", y_end.alias("y_end"), ids.alias("object_ids"))
+    return L.validate_pages(materialize(pages))
 
 
 @query("lay_global_ids", f"""WITH {OBJECTS}, i AS (SELECT 'obj-y' || y_top || '-' || y_bottom AS id, conv_id FROM obj), f AS (SELECT id, conv_id, count(*) AS n FROM i GROUP BY ALL),

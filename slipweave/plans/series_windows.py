@@ -9,6 +9,7 @@ from slipweave.operators.slips import with_lines
 from slipweave.functions import fields as X
 from slipweave.plans.registry import query
 from slipweave.sources import feeds
+from slipweave.sources.sinks import stored
 from slipweave.sources.tables import documents, table
 
 ROWS = """WITH d AS (SELECT doc_id AS series_id, string_split(text, chr(10)) AS ls FROM documents),
@@ -29,8 +30,12 @@ def rows(spark, sf_dir):
     return feeds.row_activity(spark, sf_dir)
 
 
+def heights(spark, sf_dir):
+    return stored(spark, f"series heights:{sf_dir}", lambda: S.series_length(rows(spark, sf_dir)))
+
+
 def bands(spark, sf_dir):
-    return S.quiet_bands(rows(spark, sf_dir), F.col("activity") < QUIET, F.col("activity"), MIN_ROWS, MARGIN, GAP)
+    return stored(spark, f"series bands:{sf_dir}", lambda: S.quiet_bands(rows(spark, sf_dir), F.col("activity") < QUIET, F.col("activity"), MIN_ROWS, MARGIN, GAP))
 
 
 @query("win_smooth_weighted", ROWS + """SELECT series_id, y, (coalesce(lag(activity, 2) OVER w, 0) + 2 * coalesce(lag(activity) OVER w, 0) + 3 * activity
@@ -65,21 +70,21 @@ def agg_row_stats(spark, sf_dir):
 @query("win_quiet_bands", BANDS + """, t AS (SELECT bands.series_id, start, "end", centre, sum(r.activity) AS s FROM bands JOIN r ON r.series_id = bands.series_id
   AND r.y BETWEEN bands.start AND bands."end" GROUP BY ALL) SELECT series_id, start, "end", centre, s / ("end" - start + 1) AS score FROM t""")
 def win_quiet_bands(spark, sf_dir):
-    return bands(spark, sf_dir)
+    return S.quiet_bands(rows(spark, sf_dir), F.col("activity") < QUIET, F.col("activity"), MIN_ROWS, MARGIN, GAP)
 
 
 RUNS = ROWS + f""", a AS (SELECT *, y - row_number() OVER (PARTITION BY series_id ORDER BY y) AS g FROM r WHERE activity >= {QUIET}),
-c AS (SELECT series_id, min(y) AS top, max(y) + 1 AS bottom FROM a JOIN h USING (series_id) GROUP BY series_id, g, height HAVING count(*) >= 2 OR max(y) + 1 = height)
+c AS (SELECT series_id, min(y) AS top, max(y) + 1 AS bottom, max(activity) AS span FROM a JOIN h USING (series_id) GROUP BY series_id, g, height HAVING count(*) >= 2 OR max(y) + 1 = height)
 """
 
 
 def content(spark, sf_dir):
-    return S.content_runs(rows(spark, sf_dir), F.col("activity") >= QUIET, 2)
+    return stored(spark, f"series content:{sf_dir}", lambda: S.content_runs(rows(spark, sf_dir), F.col("activity") >= QUIET, 2, widest="span"))
 
 
 @query("win_content_runs", RUNS + "SELECT series_id, top, bottom FROM c")
 def win_content_runs(spark, sf_dir):
-    return content(spark, sf_dir)
+    return S.content_runs(rows(spark, sf_dir), F.col("activity") >= QUIET, 2)
 
 
 @query("win_protected_regions", BANDS + """, n AS (SELECT *, row_number() OVER w AS k, lead(start) OVER w AS nx FROM bands WINDOW w AS (PARTITION BY series_id ORDER BY start))
@@ -87,7 +92,7 @@ SELECT series_id, 0 AS top, height AS bottom FROM h WHERE series_id NOT IN (SELE
 UNION ALL SELECT series_id, 0, start FROM n WHERE k = 1 AND start > 0
 UNION ALL SELECT n.series_id, n."end", coalesce(nx, height) FROM n JOIN h USING (series_id) WHERE coalesce(nx, height) > n."end" """)
 def win_protected_regions(spark, sf_dir):
-    return S.protected_regions(bands(spark, sf_dir), S.series_length(rows(spark, sf_dir)))
+    return S.protected_regions(bands(spark, sf_dir), heights(spark, sf_dir))
 
 
 @query("win_merge_intervals", ROWS + """, z AS (SELECT series_id, y * 10 AS s, y * 10 + CAST(activity AS BIGINT) % 30 AS e FROM r),
@@ -108,17 +113,24 @@ def valley_args():
    WHERE lo IS NOT NULL GROUP BY ALL)
 SELECT series_id, lo AS start, hi - 1 AS "end", hi - lo >= 2 AND wide = 0 AND solid >= 0.85 * (hi - lo) AND act <= 50.0 * (hi - lo) AS safe FROM s""")
 def lay_safe_valley(spark, sf_dir):
-    runs_ = with_ordinal(content(spark, sf_dir), "top", "n", ["series_id"])
-    prev = with_neighbours(runs_, ["series_id"], "n", 1, 0, {"prev": lambda w: F.lag("bottom").over(w)}).filter("prev IS NOT NULL")
-    gaps = prev.select("series_id", F.col("prev").alias("start"), (F.col("top") - 1).alias("end"))
-    return S.safe_valleys(rows(spark, sf_dir), gaps, 2, max_mean=50.0, **valley_args())
+    beside = S.safe_gaps(rows(spark, sf_dir), content(spark, sf_dir), 2, max_mean=50.0, **valley_args())
+    return beside.filter("above is not null").select("series_id", F.col("above").alias("start"), (F.col("top") - 1).alias("end"), "safe")
 
 
-@query("win_merge_fragments", RUNS + """, x AS (SELECT series_id, lag(bottom) OVER (PARTITION BY series_id ORDER BY top) AS lo, top AS hi, bottom FROM c)
-, s AS (SELECT x.series_id, lo, hi, x.bottom, count_if(activity > 60) AS wide, count_if(activity < 120) AS solid, sum(activity) AS act FROM x LEFT JOIN r ON r.series_id = x.series_id AND y >= lo AND y < hi GROUP BY ALL)
+FRAGMENTS = RUNS + """, x AS (SELECT series_id, lag(bottom) OVER (PARTITION BY series_id ORDER BY top) AS lo, top AS hi, bottom, span FROM c)
+, s AS (SELECT x.series_id, lo, hi, x.bottom, x.span, count_if(activity > 60) AS wide, count_if(activity < 120) AS solid, sum(activity) AS act, count_if(activity > 100) AS wider FROM x LEFT JOIN r ON r.series_id = x.series_id AND y >= lo AND y < hi GROUP BY ALL)
 , f AS (SELECT *, CASE WHEN lo IS NULL OR hi - lo > 3 OR (hi - lo >= 2 AND wide = 0 AND solid >= 0.85 * (hi - lo) AND act <= 50.0 * (hi - lo)) THEN 1 ELSE 0 END AS fresh FROM s)
-, g AS (SELECT *, sum(fresh) OVER (PARTITION BY series_id ORDER BY hi) AS k FROM f)
-SELECT series_id, min(hi) AS top, max(bottom) AS bottom, count(*) AS fragments FROM g GROUP BY series_id, k""")
+, g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY series_id ORDER BY hi) AS BIGINT) AS object_no FROM f)
+"""
+
+
+def fragments(spark, sf_dir):
+    """The fragments of the content runs' objects: series_id, fragment_no, object_no, top, bottom, span."""
+    return S.listed_fragments(rows(spark, sf_dir), content(spark, sf_dir), 3, 2, max_mean=50.0, **valley_args())
+
+
+@query("win_merge_fragments", FRAGMENTS + """SELECT series_id, object_no, min(hi) OVER o AS top, max(bottom) OVER o AS bottom, count(*) OVER o AS fragments, hi AS fragment_top, bottom AS fragment_bottom
+FROM g WINDOW o AS (PARTITION BY series_id, object_no)""")
 def win_merge_fragments(spark, sf_dir):
     return S.merge_fragments(rows(spark, sf_dir), content(spark, sf_dir), 3, 2, max_mean=50.0, **valley_args())
 
@@ -140,7 +152,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY series_id, ideal ORDER BY score,
 SELECT series_id, ideal, y AS cut, greatest(0.0, 100.0 - score) AS quality FROM b WHERE k = 1""")
 def win_best_cut(spark, sf_dir):
     r = rows(spark, sf_dir)
-    targets = S.series_length(r).filter("height > 12").select("series_id", F.explode(F.expr("sequence(12L, height - 1, 12L)")).alias("ideal"))
+    targets = heights(spark, sf_dir).filter("height > 12").select("series_id", F.explode(F.expr("sequence(12L, height - 1, 12L)")).alias("ideal"))
     return S.best_cuts(S.smooth_box(r), targets, 8, 3, quiet=150.0)
 
 
@@ -148,8 +160,7 @@ def win_best_cut(spark, sf_dir):
 SELECT t.series_id, target, coalesce(max(centre) FILTER (centre BETWEEN target - 8 AND target), min(centre) FILTER (centre > target AND centre <= target + 4)) AS cut
 FROM t LEFT JOIN bands USING (series_id) GROUP BY ALL""")
 def win_safe_cut(spark, sf_dir):
-    h = S.series_length(rows(spark, sf_dir)).filter("height > 12")
-    targets = h.select("series_id", F.explode(F.expr("sequence(12L, height - 1, 12L)")).alias("target"))
+    targets = heights(spark, sf_dir).filter("height > 12").select("series_id", F.explode(F.expr("sequence(12L, height - 1, 12L)")).alias("target"))
     return S.safe_cuts(bands(spark, sf_dir), targets, 8, 4)
 
 

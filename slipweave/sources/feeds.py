@@ -118,11 +118,13 @@ def slip_feed(spark: SparkSession, sf_dir: str, truth: bool = False) -> DataFram
 
 
 def row_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series_id, y, activity, span: the lines of a document as an ordered activity series."""
-    docs = documents(spark, sf_dir, "text")
-    return docs.select(F.col("doc_id").alias("series_id"), F.posexplode(F.split("text", "\n")).alias("y", "line")).select(
-        "series_id", F.col("y").cast("bigint").alias("y"), F.length("line").cast("double").alias("activity"),
-        F.length("line").cast("double").alias("span"))
+    """series_id, y, activity, span: the lines of a document as an ordered activity series. The texts are split into lines once, all series queries read the written rows."""
+    def build():
+        docs = documents(spark, sf_dir, "text")
+        return docs.select(F.col("doc_id").alias("series_id"), F.posexplode(F.split("text", "\n")).alias("y", "line")).select(
+            "series_id", F.col("y").cast("bigint").alias("y"), F.length("line").cast("double").alias("activity"),
+            F.length("line").cast("double").alias("span"))
+    return stored(spark, f"series rows:{sf_dir}", build)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,11 +139,11 @@ def test_fit_golden(spark):
     assert [r.a.scale if r.a else None for r in c] == [1.0, 0.5, 0.645, None]
 
 
-def test_rollback_before_active_block():
-    cutter = layout.GapCutter(1, 1090, 420, 30, 50, 4.5, 2)
-    cutter.at, cutter.height = 0, 100
-    cutter.rows = {y: (9.0 if 41 <= y <= 43 else 0.0, 9.0) for y in range(100)}
-    assert cutter._rollback(42) == 39
+def test_rollback_before_active_block(spark):
+    """No quiet row near the ideal cut 42, which hits the block of rows 41 to 43: the cut goes two rows before it."""
+    rows = [(1, y, 9.0 if 41 <= y <= 43 else 0.0, 9.0, 100) for y in range(100)]
+    got = layout.gap_cuts(spark.createDataFrame(rows, "series_id long, y long, activity double, smooth double, height long"), 42, 20, 5, 2, 4.5, 2).orderBy("cut_no").first()
+    assert (got.y, got.method, got.quality) == (39, "fallback_rollback", 0.0)
 
 
 def brute_cuts(values, smooth, usable, up, down, tail, quiet, padding):
@@ -199,6 +199,138 @@ def test_safe_cuts_cover_the_series(spark):
         assert all(a.y_end == b.y_start for a, b in zip(mine, mine[1:])) and all(r.y_end > r.y_start for r in mine)
 
 
+def brute_slices(centres, height, page, up, down, least, min_slice):
+    scales, out, start, k = layout.page_scales(least), [], 0, 0
+    while start < height:
+        lengths = [min(layout.rounded(page / x), height - start) for x in scales]
+
+        def centre(row):
+            above = [c for c in centres if row - up <= c <= row]
+            below = [c for c in centres if row < c <= row + down]
+            return max(above) if above else min(below) if below else None
+        hits = [(centre(start + lengths[i]), i) for i in range(k, len(scales)) if centre(start + lengths[i]) is not None]
+        end, to = hits[0] if hits else (start + lengths[k], len(scales) - 1)
+        method = "EMERGENCY" if not hits else "SAFE_ZONE" if to == k else "SMART_SHRINK"
+        if end <= start + min_slice:
+            end = height if start and height - start <= min_slice else min(height, start + max(min_slice, lengths[k]))
+        out.append((start, end, method, scales[to]))
+        start, k = end, to
+    return out
+
+
+def test_safe_cuts_brute_force(spark):
+    """Few and many centres; also pages so short that a centre above would not move the cut on."""
+    rng = random.Random(3)
+    heights = [(s, rng.randint(1, 500)) for s in range(24)]
+    bands = [(s, c) for s, h in heights for c in rng.sample(range(h), min(h, rng.choice([0, 1, 4, 40])))]
+    frames = spark.createDataFrame(bands, "series_id long, centre long"), spark.createDataFrame(heights + [(99, 0)], "series_id long, height long")
+    for page, up, down, least, min_slice in ((60, 22, 12, 0.82, 8), (30, 25, 4, 0.5, 10), (7, 3, 9, 0.9, 1)):
+        got = {}
+        for r in layout.safe_cut_slices(*frames, page, up, down, least, min_slice).orderBy("series_id", "slice_no").collect():
+            got.setdefault(r.series_id, []).append((r.y_start, r.y_end, r.method, r.scale))
+        assert got == {s: brute_slices({c for t, c in bands if t == s}, h, page, up, down, least, min_slice) for s, h in heights}
+    counts = {r.method: (r.n, r.mean_quality) for r in layout.cut_counts(layout.safe_cut_slices(*frames, 60, 22, 12, 0.82, 8)).collect()}
+    assert set(counts) == {"SAFE_ZONE", "SMART_SHRINK", "EMERGENCY"} and all(q is None for _, q in counts.values())
+
+
+def brute_split(parts, g):
+    out, first = [], 0
+    for i in range(1, len(parts)):
+        (_, bottom, wide, _), (top, low, span, safe) = parts[i - 1], parts[i]
+        gap = top - bottom
+        cut = low - parts[first][0] > g.tallest and bottom - parts[first][0] >= g.least_part and safe and gap >= (g.wide_gap if max(wide, span) >= g.wide_span else g.gap)
+        if cut and not (min(wide, span) >= g.media_span and gap <= g.media_gap):
+            out.append((first, i))
+            first = i
+    return [(parts[a][0], parts[b - 1][1], b - a) for a, b in [*out, (first, len(parts))]]
+
+
+def test_oversized_brute_force(spark):
+    rng, limits, rows, want = random.Random(5), layout.SplitLimits(tallest=60, least_part=20, gap=2, wide_gap=4, wide_span=50, media_span=30, media_gap=3), [], {}
+    for key in range(30):
+        at, parts = rng.randint(0, 9), []
+        for _ in range(rng.randint(1, 40)):
+            height = rng.choice([1, 5, 12, 70])
+            parts.append((at, at + height, float(rng.choice([10, 35, 60])), rng.random() < 0.5))
+            at += height + rng.randint(0, 6)
+        want[key % 4, key] = brute_split(parts, limits)
+        rows += [(key % 4, key, *p) for p in parts]
+    df = spark.createDataFrame(rows, "series_id long, object_no long, top long, bottom long, span double, safe boolean")
+    got = {}
+    for r in layout.split_oversized(df, limits).orderBy("series_id", "object_no", "part").collect():
+        got.setdefault((r.series_id, r.object_no), []).append((r.top, r.bottom, r.fragments))
+    assert got == want
+
+
+def brute_pages(objects, height, g):
+    """Object by object, page by page; objects are (id, top, bottom)."""
+    def scale(h):
+        return next(((True, x) for x in layout.shrink_scales() if h * x <= g.frame), (False, layout.shrink_scales()[-1]))
+
+    def squeezed(used, size, x):
+        shown = max(0, g.frame - used) / size
+        if x < 0.5 or (shown < 0.25 and x < 0.9) or (shown < 0.45 and x < 0.78) or (used >= g.frame * 0.9 and x < 0.72):
+            return False
+        return used <= g.frame * 0.3 or (shown >= 0.5 and x >= 0.55) or x >= 0.6 or shown >= 0.65
+    pages, at = [], 0
+    while rest := [o for o in objects if o[2] > at]:
+        start = max(at, rest[0][1] - 14) if pages else 0
+        last = rest[0]
+        for o in rest[1:]:
+            projected, size = o[2] + 18 - start, o[2] - o[1]
+            fits, x = scale(projected)
+            if projected <= g.page or (size <= g.small_object and projected <= g.overflow) or (fits and squeezed(last[2] + 18 - start, size, x)):
+                last = o
+            else:
+                break
+        end = min(height, last[2] + 18)
+        inside = [str(o[0]) for o in objects if o[1] >= start and o[2] <= end]
+        pages.append((start, end, scale(last[2] + 18 - start)[1], len(inside), "|".join(inside)))
+        at = end
+    return pages
+
+
+def test_pages_brute_force(spark):
+    """Gaps above and below the padding, objects that lie in it, objects higher than a page, content that ends with the last object."""
+    rng, rows, tops, want, g = random.Random(6), [], [], {}, layout.Geometry(800)
+    for conv in range(40):
+        at, objects = rng.choice([0, 30, 3000]), []
+        for i in range(rng.randint(1, 40)):
+            size = rng.choice([3, 9, 40, 150, 200, 400, 700, 1200, 2600])
+            objects.append((i, at, at + size))
+            at += size + rng.choice([0, 4, 10, 17, 18, 31, 40, 3000])
+        height = objects[-1][2] + rng.choice([0, 5, 18, 500])
+        want[conv] = brute_pages(objects, height, g)
+        rows += [(conv, *o) for o in objects]
+        tops.append((conv, height))
+    df = spark.createDataFrame(rows, "conv_id long, object_id long, y_top long, y_bottom long").repartition(3)
+    got = {}
+    for r in layout.pack_pages(df, heights=spark.createDataFrame(tops, "conv_id long, height long")).orderBy("conv_id", "page_no").collect():
+        got.setdefault(r.conv_id, []).append((r.y_start, r.y_end, r.scale, r.objects, r.object_ids))
+    assert got == want
+    assert layout.validate_pages(layout.pack_pages(df)).filter("rule in ('overlap', 'duplicate')").count() == 0
+    assert layout.pack_pages(df.filter("conv_id < 0")).count() == 0
+
+
+def test_split_points_brute_force(spark):
+    rng, zones, heights, want = random.Random(8), [], [], set()
+    for s in range(30):
+        height = rng.randint(1, 300)
+        own = sorted(rng.sample(range(height + 5), rng.choice([0, 2, 6])))
+        own = [(own[i], own[i + 1] - rng.choice([0, 1])) for i in range(0, len(own), 2)]
+        own = [(a, max(a, b)) for a, b in own]
+        zones += [(s, a, b) for a, b in own]
+        heights.append((s, height))
+        at = 0
+        while at < height:
+            want.add((s, at))
+            hit = [b for a, b in own if a <= at + 15 <= b]
+            at = height if at + 15 >= height else min(height, min(hit) + 3) if hit else at + 15
+        want.add((s, height))
+    got = layout.split_points(spark.createDataFrame(zones, "series_id long, start long, end long"), spark.createDataFrame(heights, "series_id long, height long"), 15).collect()
+    assert {(r.series_id, r.cut) for r in got} == want and len(got) == len(want)
+
+
 def test_oversized_splits_at_safe_wide_gaps(spark):
     # limit is 2212 rows at width 800; only the third gap is safe
     rows = [(1, 0, i * 900, i * 900 + 860, 100.0, i == 3) for i in range(5)]
