@@ -60,6 +60,27 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, tota
     return near.unionByName(far)
 
 
+def sieve(rows: DataFrame, keys: DataFrame, by: list[str], n_keys: int, max_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(may, rest): the rows whose columns ``by`` may be among those of the stored ``keys``, and those that surely are not.
+
+    The keys set three bits each in a blocked Bloom filter of at most ``max_words`` 64-bit words, which is broadcast; so wide rows without a key need not be
+    shuffled to learn it. Where the keys outgrow the filter, more rows count as possible ones.
+    """
+    words = 1
+    while words < max_words and words * 64 < n_keys * 16:
+        words *= 2
+
+    def bits(df: DataFrame) -> DataFrame:
+        at, mask = F.xxhash64(F.lit(11), *by), F.xxhash64(F.lit(13), *by)
+        three = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h, {k * 6}) & 63 as int))") for k in range(3)]
+        out = df.withColumn("_h", mask).withColumn("_word", F.pmod(at, F.lit(words)))
+        return out.withColumn("_mask", three[0].bitwiseOR(three[1]).bitwiseOR(three[2])).drop("_h")
+    held = stored(bits(keys.select(*by)).groupBy("_word").agg(F.bit_or("_mask").alias("_set")))
+    met = bits(rows).join(F.broadcast(held), "_word", "left")
+    there = F.coalesce(F.col("_set").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    return met.filter(there).select(*rows.columns), met.filter(~there).select(*rows.columns)
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold at most ``limit`` bytes; a longer text is a range of its own."""
     lo, n = 0, len(offsets) - 1

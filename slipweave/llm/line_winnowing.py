@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slipweave.llm.common import attach, column, documents, fresh, stored
+from slipweave.llm.common import attach, column, documents, fresh, sieve, stored
 from slipweave.llm.registry import query
 
 #: Lines of the shortest run, which is also the winnowing window.
@@ -34,21 +34,21 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, h, v, at): hashes of the lines with a word, and their places in the text."""
+    """(doc, h, v, u, at): two hashes of each line with a word, and the places of these lines in the text."""
     hashed = F.transform("lines", lambda x, i: F.struct(F.regexp_replace(x, EDGE_BLANKS, "").alias("x"), i.alias("at")))
-    worded = F.transform(F.filter(hashed, lambda s: s["x"] != ""), lambda s: F.struct(F.xxhash64(s["x"]).alias("v"), s["at"].alias("at")))
-    return _keyed(docs, doc_id, text).select("doc", "h", worded.alias("w")).select("doc", "h", F.col("w.v").alias("v"), F.col("w.at").alias("at"))
+    worded = F.transform(F.filter(hashed, lambda s: s["x"] != ""), lambda s: F.struct(F.xxhash64(s["x"]).alias("v"), F.xxhash64(F.lit(1), s["x"]).alias("u"), s["at"].alias("at")))
+    return _keyed(docs, doc_id, text).select("doc", "h", worded.alias("w")).select("doc", "h", F.col("w.v").alias("v"), F.col("w.u").alias("u"), F.col("w.at").alias("at"))
 
 
 def long_windows(docs: DataFrame, run: int, long_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, h, s, x, at): the windows of ``run`` lines with a word that have at least ``long_words`` words."""
+    """(doc, h, s, x, y, at): the windows of ``run`` lines with a word that have at least ``long_words`` words."""
     lines = F.filter(F.transform("lines", lambda x, i: F.struct(F.regexp_replace(x, EDGE_BLANKS, "").alias("x"), i.alias("at"))), lambda s: s["x"] != "")
-    counted = F.transform(lines, lambda s: F.struct(F.xxhash64(s["x"]).alias("v"), s["at"].alias("at"), F.size(F.split(s["x"], BLANKS)).alias("n")))
+    counted = F.transform(lines, lambda s: F.struct(F.xxhash64(s["x"]).alias("v"), F.xxhash64(F.lit(1), s["x"]).alias("u"), s["at"].alias("at"), F.size(F.split(s["x"], BLANKS)).alias("n")))
     rows = _keyed(docs, doc_id, text).dropDuplicates(["doc", "h"]).select("doc", "h", counted.alias("w")).filter(F.size("w") >= run)
     at = F.sequence(F.lit(0), F.size("w") - run)
     enough = F.filter(at, lambda s: F.aggregate(F.slice("w", s + 1, run), F.lit(0).cast("bigint"), lambda a, w: a + w["n"]) >= long_words)
     cut = rows.select("doc", "h", "w", F.explode(enough).alias("s")).withColumn("c", F.slice("w", F.col("s") + 1, run))
-    return cut.select("doc", "h", "s", F.xxhash64("c.v").alias("x"), F.col("c.at").alias("at"))
+    return cut.select("doc", "h", "s", F.xxhash64("c.v").alias("x"), F.xxhash64("c.u").alias("y"), F.col("c.at").alias("at"))
 
 
 def winnowed(v: Column, run: int) -> Column:
@@ -68,15 +68,15 @@ def repeated_lines(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text
     # each text's own windows around its shared fingerprints
     near = F.array_distinct(F.flatten(F.transform("p.places", lambda i: F.sequence(F.greatest(i - (run - 1), F.lit(0)), F.least(i, F.size("a.v") - run)))))
     windows = stored(hashes.dropDuplicates(["doc", "h"]).alias("a").join(places.alias("p"), F.expr("a.h = p.h and a.doc <=> p.doc"))
-                     .select("a.doc", "a.h", "a.v", "a.at", F.explode(near).alias("s"))
-                     .select("doc", "h", "s", F.xxhash64(F.slice("v", F.col("s") + 1, run)).alias("x"), F.slice("at", F.col("s") + 1, run).alias("at")))
+                     .select("a.doc", "a.h", "a.v", "a.u", "a.at", F.explode(near).alias("s"))
+                     .select("doc", "h", "s", F.xxhash64(F.slice("v", F.col("s") + 1, run)).alias("x"), F.xxhash64(F.slice("u", F.col("s") + 1, run)).alias("y"), F.slice("at", F.col("s") + 1, run).alias("at")))
     return _later(windows, run).groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
 
 def _later(windows: DataFrame, run: int) -> DataFrame:
-    """The stored windows that are later repeats."""
-    firsts = stored(windows.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "s")).alias("first")).filter("n > 1"))
-    met = attach(windows, firsts, ["x"], "n", windows.count())
+    """The stored windows that are later repeats; windows are equal when both their hashes are."""
+    firsts = stored(windows.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "s")).alias("first")).filter("n > 1"))
+    met = attach(windows, firsts, ["x", "y"], "n", windows.count())
     later = met.filter(~F.col("doc").eqNullSafe(F.col("first.doc")) | (F.col("h") != F.col("first.h")) | (F.col("s") >= F.col("first.s") + run))
     return later.filter("n is not null").select("doc", "h", "at")
 
@@ -90,16 +90,25 @@ def repeated_passages(docs: DataFrame, run: int, long_words: int, doc_id: str =
 
 
 def delete_repeats(docs: DataFrame, run: int = RUN, doc_id: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
-    """docs with n_lines, n_removed and kept_text (renamed where docs has such columns): one row per row of docs."""
+    """docs with n_lines, n_removed and kept_text (renamed where docs has such columns): one row per row of docs.
+
+    Texts that lose no line pass without a shuffle, but for the few that a Bloom filter of the others' keys lets through.
+    """
     gone = stored(repeated_lines(docs, run, doc_id, text) if long_words is None else repeated_passages(docs, run, long_words, doc_id, text))
-    full = F.coalesce(column(text), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), column(doc_id).alias("doc"), F.xxhash64(full).alias("h"), full.alias("text"))
-    met = rows.alias("r").join(gone.alias("g"), F.expr("r.h = g.h and r.doc <=> g.doc"), "left").select("r.row", "r.text", "g.gone", F.split("r.text", "\n").alias("lines"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.col("lines")[i])
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     names = fresh(docs, "n_lines", "n_removed", "kept_text")
-    added = [F.size("lines").cast("bigint"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"), kept]
-    return met.select("row.*", *[c.alias(n) for c, n in zip(added, names, strict=True)])
+
+    def result(rows: DataFrame, lost: Column, kept: Column) -> DataFrame:
+        return rows.select("row", F.size("lines").cast("bigint").alias("a"), lost.cast("bigint").alias("b"), kept.alias("c")).select(
+            "row.*", *[F.col(c).alias(n) for c, n in zip("abc", names, strict=True)])
+    rows = docs.select(F.struct("*").alias("row"), column(doc_id).alias("doc"), F.xxhash64(F.coalesce(column(text), F.lit(""))).alias("h"))
+    may, rest = sieve(rows, gone, ["doc", "h"], gone.count())
+    # the same join at any size, so that what moves grows with the texts that are changed
+    met = may.alias("r").join(gone.alias("g").hint("merge"), F.expr("r.h = g.h and r.doc <=> g.doc"), "left").select("row", "gone")
+    full = F.coalesce(F.col("row").getField(text), F.lit("")).alias("full")
+    met, rest = (df.select("*", full).withColumn("lines", F.split("full", "\n")) for df in (met, rest))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
+    kept = F.when(F.col("gone").isNull(), F.col("full")).otherwise(F.array_join(left, "\n"))
+    return result(rest, F.lit(0), F.col("full")).unionByName(result(met, F.coalesce(F.size("gone"), F.lit(0)), kept))
 
 
 @query("op3_line_winnowing", f"""
