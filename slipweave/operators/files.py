@@ -71,6 +71,13 @@ def rule_report(packages: DataFrame) -> DataFrame:
             .select("rule", "n", (F.col("n").cast("double") / F.lit(float(max(total, 1)))).alias("share"), F.coalesce(F.try_element_at(messages, F.col("rule")), F.lit("")).alias("message")))
 
 
+def package_rows(packages: DataFrame) -> DataFrame:
+    """The packages with ``valid``, the rules they break and what is said about the first of these."""
+    messages = F.create_map(*[F.lit(x) for kv in R.ARCHIVE_RULES.items() for x in kv])
+    return packages.select("*", (F.size("violations") == 0).alias("valid"), F.array_join("violations", "|").alias("rules"),
+                           F.try_element_at(messages, F.get("violations", F.lit(0))).alias("message")).drop("violations")
+
+
 def duplicate_names(files: DataFrame) -> DataFrame:
     """name, n, n_paths, path of names that occur more than once, case and outer blanks ignored."""
     per_path = files.groupBy(F.lower(F.trim("name")).alias("name"), "path").agg(F.count("*").alias("c"))

@@ -193,11 +193,21 @@ def pivot_parties(line_array: Column) -> Column:
     return F.get(F.transform(F.array(F.transform(line_array, describe)), choose), F.lit(0))
 
 
+def found_fields(bank, amount, date, sender, receiver, ref) -> Column:
+    """map(field -> whether the extraction found it) of the six fields that completeness counts."""
+    found = {"bank": bank != "Unknown", "amount": amount > 0, "date": date != "Unknown", "sender": sender != "Unknown", "receiver": receiver != "Unknown", "reference": ref != "Unknown"}
+    return F.create_map(*[x for name, c in found.items() for x in (F.lit(name), F.coalesce(c, F.lit(False)))])
+
+
 def completeness(bank, amount, date, sender, receiver, ref) -> Column:
-    found = sum((F.when(c, 1).otherwise(0) for c in (
-        bank != "Unknown", amount > 0, date != "Unknown", sender != "Unknown", receiver != "Unknown", ref != "Unknown")),
-        F.lit(0))
-    return F.round(found / F.lit(6.0), 2)
+    found = F.map_values(found_fields(bank, amount, date, sender, receiver, ref))
+    return F.round(F.size(F.filter(found, lambda c: c)) / F.lit(6.0), 2)
+
+
+def fill_rates(df: DataFrame, found: str) -> DataFrame:
+    """field, filled, n, share: in how many of all rows each field of the map column was found."""
+    return df.select(F.explode(found).alias("field", "_f")).groupBy("field").agg(
+        F.count_if("_f").alias("filled"), F.count("*").alias("n"), (F.count_if("_f") / F.count("*")).alias("share"))
 
 
 def merge_fill(primary: DataFrame, rules: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slipweave import rules as R
+from slipweave.functions.text import archive_name
 from slipweave.operators import files as O
 from slipweave.operators.ordered import with_ordinal
 from slipweave.plans.registry import query
@@ -131,15 +132,19 @@ def set_available_intersect(spark, sf_dir):
     return names(spark, sf_dir).select("name").intersect(feeds.files(spark, sf_dir).select("name"))
 
 
-@query("val_rule_report", """
-WITH p AS (SELECT CASE doc_id % 6 WHEN 0 THEN source || '_' || doc_id WHEN 1 THEN source || ' ' || doc_id WHEN 2 THEN '-' || source WHEN 3 THEN 'a..' || doc_id || 'b'
+PACKAGES = """
+WITH p AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN source || '_' || doc_id WHEN 1 THEN source || ' ' || doc_id WHEN 2 THEN '-' || source WHEN 3 THEN 'a..' || doc_id || 'b'
     WHEN 4 THEN '' ELSE 'ab' END AS a, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'short note' ELSE 'Evidence of case ' || (doc_id + 10000) END AS d FROM documents),
-v AS (SELECT list_filter([CASE WHEN a = '' THEN 'required' END, CASE WHEN a <> '' AND length(a) NOT BETWEEN 3 AND 80 THEN 'length' END,
+v AS (SELECT doc_id, a, list_filter([CASE WHEN a = '' THEN 'required' END, CASE WHEN a <> '' AND length(a) NOT BETWEEN 3 AND 80 THEN 'length' END,
     CASE WHEN a <> '' AND NOT regexp_full_match(a, '[A-Za-z0-9._-]{3,80}') THEN 'charset' END, CASE WHEN contains(a, '..') THEN 'dots' END,
     CASE WHEN left(a, 1) IN ('-','_','.') OR right(a, 1) IN ('-','_','.') THEN 'edges' END, CASE WHEN d IS NULL THEN 'disclaimer_required' END,
     CASE WHEN length(d) < 20 THEN 'disclaimer_short' END], lambda x: x IS NOT NULL) AS l FROM p)
-SELECT rule, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM v) AS share FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['valid'] ELSE l END) AS rule FROM v) GROUP BY rule""")
-def val_rule_report(spark, sf_dir):
+"""
+MESSAGES = "CASE rule " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.ARCHIVE_RULES.items()) + " END"
+
+
+def packages(spark, sf_dir):
+    """doc_id, archive, violations."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     k, num = F.col("doc_id") % 6, F.col("doc_id").cast("string")
     archive = (F.when(k == 0, F.concat("source", F.lit("_"), num)).when(k == 1, F.concat("source", F.lit(" "), num))
@@ -147,7 +152,26 @@ def val_rule_report(spark, sf_dir):
                .when(k == 4, F.lit("  ")).otherwise(F.lit("ab")))
     note = (F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 4 == 1, "short note")
             .otherwise(F.concat(F.lit("Evidence of case "), (F.col("doc_id") + 10000).cast("string"))))
-    return O.rule_report(docs.select(O.package_violations(archive, note).alias("violations"))).select("rule", "n", "share")
+    return docs.select("doc_id", archive.alias("archive"), O.package_violations(archive, note).alias("violations"))
+
+
+@query("val_rule_report", PACKAGES + f"""SELECT rule, n, share, coalesce({MESSAGES}, '') AS message FROM (SELECT rule, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM v) AS share
+  FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['valid'] ELSE l END) AS rule FROM v) GROUP BY rule)""")
+def val_rule_report(spark, sf_dir):
+    return O.rule_report(packages(spark, sf_dir).select("violations")).select("rule", "n", "share", "message")
+
+
+@query("val_package_rows", PACKAGES + f"SELECT doc_id, len(l) = 0 AS valid, array_to_string(l, '|') AS rules, {MESSAGES} AS message FROM (SELECT *, l[1] AS rule FROM v)")
+def val_package_rows(spark, sf_dir):
+    """Every package with the rules it breaks."""
+    return O.package_rows(packages(spark, sf_dir)).select("doc_id", "valid", "rules", "message")
+
+
+@query("prj_archive_name", r"SELECT doc_id, regexp_replace('Case ' || source || chr(9) || lang || '  No ' || doc_id, '\s+', '_', 'g') AS archive FROM documents")
+def prj_archive_name(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    title = F.concat(F.lit("  Case "), "source", F.lit("\t"), "lang", F.lit("  No "), F.col("doc_id").cast("string"), F.lit(" "))
+    return docs.select("doc_id", archive_name(title).alias("archive"))
 
 
 @query("srt_path_ci", FILES + "SELECT path, lower(path) AS sort_key FROM f")

@@ -217,25 +217,43 @@ def join_object_in_page(spark, sf_dir):
     return L.objects_in_pages(o, pages).select("conv_id", "page_no", "object_id")
 
 
-@query("lay_overlap_trim", """WITH n AS (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS next_id, lag(conv_id) OVER (ORDER BY conv_id) AS prev_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+#: Conversations with up to two turns of the one before repeated at their head.
+JOINED = """WITH n AS (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS next_id, lag(conv_id) OVER (ORDER BY conv_id) AS prev_id FROM (SELECT DISTINCT conv_id FROM conversations)),
 own AS (SELECT conv_id, list(text ORDER BY turn) AS ls FROM conversations GROUP BY conv_id),
 f AS (SELECT n.conv_id, n.next_id, CASE WHEN p.ls IS NULL OR n.conv_id % 3 = 0 THEN o.ls ELSE list_concat(p.ls[-(n.conv_id % 3):], o.ls) END AS ls
   FROM n JOIN own o ON o.conv_id = n.conv_id LEFT JOIN own p ON p.conv_id = n.prev_id),
-k AS (SELECT a.conv_id, a.next_id, a.ls AS x, b.ls AS y, unnest(range(1, least(len(a.ls), len(b.ls)) + 1)) AS k FROM f a JOIN f b ON a.next_id = b.conv_id)
-SELECT conv_id, next_id, max(k) AS overlap FROM k WHERE x[-k:] = y[:k] GROUP BY ALL""")
-def lay_overlap_trim(spark, sf_dir):
-    """How many leading turns of each conversation repeat the end of the one before."""
+k AS (SELECT a.conv_id, a.next_id, a.ls AS x, b.ls AS y, unnest(range(1, least(len(a.ls), len(b.ls)) + 1)) AS k FROM f a JOIN f b ON a.next_id = b.conv_id),
+ov AS (SELECT conv_id, next_id, max(k) AS overlap FROM k WHERE x[-k:] = y[:k] GROUP BY ALL)
+"""
+
+
+def joined_turns(spark, sf_dir):
+    """(conv_id, pos, h) and (conv_id, next_id, n) of these conversations."""
     t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.sha2("text", 256).alias("h"))
     sizes = t.groupBy("conv_id").agg(F.count("*").alias("own"))
     numbered = with_ordinal(sizes, "conv_id", "no")
     linked = with_neighbours(numbered, [], "no", 1, 1, {"prev_id": lambda w: F.lag("conv_id").over(w), "next_id": lambda w: F.lead("conv_id").over(w),
                                                         "prev_own": lambda w: F.lag("own").over(w)})
-    head = linked.select("conv_id", "prev_id", "prev_own", "next_id", "own", F.when(F.col("prev_id").isNull(), 0).otherwise(F.least(F.col("conv_id") % 3, "prev_own")).alias("pre"))
+    head = materialize(linked.select("conv_id", "prev_id", "prev_own", "next_id", "own", F.when(F.col("prev_id").isNull(), 0).otherwise(F.least(F.col("conv_id") % 3, "prev_own")).alias("pre")))
     own = t.join(head.select("conv_id", "pre"), "conv_id").select("conv_id", (F.col("turn") + F.col("pre")).alias("pos"), "h")
     borrowed = t.withColumnRenamed("conv_id", "prev_id").join(head.filter("pre > 0"), "prev_id").filter(F.col("turn") >= F.col("prev_own") - F.col("pre")).select(
         "conv_id", (F.col("turn") - (F.col("prev_own") - F.col("pre"))).alias("pos"), "h")
     order = head.filter("next_id IS NOT NULL").select("conv_id", "next_id", (F.col("own") + F.col("pre")).alias("n"))
-    return L.overlap_lengths(own.unionByName(borrowed), order)
+    return materialize(own.unionByName(borrowed)), order
+
+
+@query("lay_overlap_trim", JOINED + "SELECT conv_id, next_id, overlap FROM ov")
+def lay_overlap_trim(spark, sf_dir):
+    """How many leading turns of each conversation repeat the end of the one before."""
+    return L.overlap_lengths(*joined_turns(spark, sf_dir))
+
+
+@query("lay_trimmed_turns", JOINED + """SELECT f.conv_id, i - 1 - cut AS pos, sha256(ls[i]) AS h FROM (SELECT f.conv_id, ls, CASE WHEN overlap < len(ls) THEN overlap ELSE 0 END AS cut, unnest(range(1, len(ls) + 1)) AS i
+  FROM f LEFT JOIN ov ON ov.next_id = f.conv_id) f WHERE i > cut""".replace("THEN overlap ELSE 0", "THEN coalesce(overlap, 0) ELSE 0"))
+def lay_trimmed_turns(spark, sf_dir):
+    """The turns that are left when the repeated heads are cut off."""
+    turns, order = joined_turns(spark, sf_dir)
+    return L.trimmed_turns(turns, L.overlap_lengths(turns, order))
 
 
 @query("lay_validate", PAGES + """, p AS (SELECT conv_id, page_no, y_start, CASE WHEN conv_id % 11 = 0 THEN y_start WHEN conv_id % 7 = 0 THEN y_end + 40 ELSE y_end END AS y_end,

@@ -25,9 +25,21 @@ def ext_lines(spark, sf_dir):
     return feed(spark, sf_dir).select("idx", F.posexplode("lines").alias("pos", "line"))
 
 
-@query("ext_bank_weighted", "SELECT idx, t_bank AS bank_code FROM @FEED")
+def _weights_sql() -> str:
+    """The score of every bank as a list of structs: hits weigh the length of their pattern, in tenths, more when there are several; an account pattern adds to it."""
+    parts = []
+    for place, (code, patterns, account) in enumerate(R.BANK_PATTERNS):
+        hit = lambda p: f"CASE WHEN regexp_matches(low, '{p}') THEN 1 ELSE 0 END"
+        weight = " + ".join(f"{max(len(p), 5)} * {hit(p)}" for p in patterns)
+        bonus = f"CASE WHEN regexp_matches(raw_text, '{account}') THEN 100 ELSE 0 END" if account else "0"
+        parts.append(f"{{'s': ({weight}) * CASE WHEN {' + '.join(map(hit, patterns))} >= 2 THEN 13 ELSE 10 END + {bonus}, 'p': {-place}, 'c': '{code}'}}")
+    return "[" + ", ".join(parts) + "]"
+
+
+@query("ext_bank_weighted", f"""WITH s AS (SELECT idx, t_bank, {_weights_sql()} AS w FROM (SELECT idx, t_bank, raw_text, lower(raw_text) AS low FROM @FEED))
+SELECT idx, t_bank AS bank_code, CASE WHEN list_max(w).s = 0 THEN 0 ELSE CAST(list_max(w).s AS DOUBLE) / list_sum(list_transform(w, lambda x: x.s)) END AS confidence FROM s""")
 def ext_bank_weighted(spark, sf_dir):
-    return X.with_bank(slip_feed(spark, sf_dir), "raw_text", "b").select("idx", F.col("b.code").alias("bank_code"))
+    return X.with_bank(slip_feed(spark, sf_dir), "raw_text", "b").select("idx", F.col("b.code").alias("bank_code"), F.col("b.confidence").alias("confidence"))
 
 
 @query("prj_brand_fallback", """SELECT idx, CASE WHEN t_bank = 'UNKNOWN' AND t_key % 4 = 1 THEN 'UNKNOWN' WHEN t_bank = 'UNKNOWN' AND t_key % 2 = 0 THEN 'SCB' ELSE t_bank END AS bank_code FROM @FEED""")
@@ -160,12 +172,15 @@ def ext_parties(spark, sf_dir):
     return slips.with_parties(feed(spark, sf_dir)).select("idx", "sender_name", "sender_account", "receiver_name", "receiver_account")
 
 
-@query("ext_parties_labelled", """SELECT idx, CASE WHEN NOT t_empty AND t_labelled THEN t_sender ELSE 'Unknown' END AS sender, 'Unknown' AS receiver FROM @FEED""")
+@query("ext_parties_labelled", """SELECT idx, CASE WHEN NOT t_empty AND t_labelled THEN t_sender ELSE 'Unknown' END AS sender, CASE WHEN NOT t_empty AND t_labelled THEN t_receiver ELSE 'Unknown' END AS receiver FROM @FEED""")
 def ext_parties_labelled(spark, sf_dir):
-    return feed(spark, sf_dir).select("idx", slips.labelled_parties(F.col("lines")).alias("p")).select("idx", "p.sender", "p.receiver")
+    """Texts that name the receiver by one of the labels of this variant."""
+    named = slip_feed(spark, sf_dir).withColumn("raw_text", F.replace("raw_text", F.lit("ไปยัง"), F.lit("ผู้รับ:")))
+    return slips.with_lines(named).select("idx", slips.labelled_parties(F.col("lines")).alias("p")).select("idx", "p.sender", "p.receiver")
 
 
-@query("ext_parties_prefix")
+@query("ext_parties_prefix", """SELECT idx, CASE WHEN t_empty THEN 'UNKNOWN' WHEN t_labelled THEN t_sender ELSE substr(t_sender, 5) END AS sender,
+  CASE WHEN t_empty OR NOT t_labelled THEN 'UNKNOWN' ELSE replace(t_receiver, '.', '') END AS receiver FROM @FEED""")
 def ext_parties_prefix(spark, sf_dir):
     return feed(spark, sf_dir).select("idx", slips.prefix_parties(F.col("lines")).alias("p")).select("idx", "p.sender", "p.receiver")
 
@@ -203,12 +218,15 @@ def ext_noise_tokens(spark, sf_dir):
     return both.select("idx", "receiver", X.is_header_name(F.col("receiver")).alias("header"))
 
 
-@query("set_token_subset", """SELECT idx, false AS subset FROM @FEED WHERE NOT t_empty""")
+@query("set_token_subset", """SELECT idx, 'sender' AS part, false AS subset FROM @FEED WHERE NOT t_empty UNION ALL SELECT idx, 'bank', true FROM @FEED WHERE NOT t_empty
+  UNION ALL SELECT idx, 'both', false FROM @FEED WHERE NOT t_empty""")
 def set_token_subset(spark, sf_dir):
-    """Whether all tokens of the sender name are in the vocabulary, as an array difference."""
+    """Whether all tokens of the sender, of the bank's line and of both together are in the vocabulary, as array differences."""
     vocab = F.array(*[F.lit(v) for v in X.noise_vocabulary()])
-    f = slips.with_parties(feed(spark, sf_dir)).filter(F.size("lines") > 0)
-    return f.select("idx", (F.size(F.array_except(X.name_tokens(F.col("sender_name")), vocab)) == 0).alias("subset"))
+    f = slips.with_parties(feed(spark, sf_dir)).filter(F.size("lines") > 0).withColumn("bank", F.regexp_extract(F.get("lines", F.lit(0)), r"^(\S+)", 1))
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), c.alias("name")) for n, c in (("sender", F.col("sender_name")), ("bank", F.col("bank")), ("both", F.concat_ws(" ", "bank", "sender_name")))])
+    each = f.select("idx", F.inline(parts))
+    return each.select("idx", "part", (F.size(F.array_except(X.name_tokens(F.col("name")), vocab)) == 0).alias("subset"))
 
 
 @query("ext_name_clean", """SELECT idx, CASE WHEN t_empty THEN '' WHEN t_merchant THEN t_receiver ELSE substr(t_receiver, 6) END AS name,
@@ -218,11 +236,20 @@ def ext_name_clean(spark, sf_dir):
     return f.select("idx", X.name_without_title(F.coalesce("receiver_name", F.lit(""))).alias("n")).select("idx", "n.name", "n.confidence")
 
 
-@query("ext_completeness", f"""
-WITH v AS (SELECT *, {DATE_TEXT_SQL} AS dt,
-   CASE WHEN t_empty THEN 0 ELSE (CASE WHEN t_bank = 'BAAC' AND t_merchant THEN 0 ELSE 1 END) + 1 + (CASE WHEN t_date_form = 2 THEN 0 ELSE 1 END)
-      + (CASE WHEN t_labelled THEN 1 ELSE 0 END) + 1 END AS found FROM @FEED)
-SELECT idx, round(found / 6.0, 2) AS completeness FROM v""")
+#: Which of the six fields the variant's rules find in a text of the feed.
+FOUND_SQL = f"""v AS (SELECT *, {DATE_TEXT_SQL} AS dt FROM @FEED),
+w AS (SELECT idx, NOT t_empty AND NOT (t_bank = 'BAAC' AND t_merchant) AS bank, NOT t_empty AS amount, NOT t_empty AND t_date_form <> 2 AS date, NOT t_empty AND t_labelled AS sender, false AS receiver, NOT t_empty AS reference FROM v)
+"""
+
+
+def found_fields(spark, sf_dir):
+    text = F.col("raw_text")
+    f = feed(spark, sf_dir).withColumn("p", slips.labelled_parties(F.col("lines")))
+    return f.select("idx", slips.found_fields(X.bank_longest_keyword(text), X.amount_near_label(F.col("lines")), X.date_text(text), F.col("p.sender"),
+                                              F.col("p.receiver"), X.reference_short(text)).alias("found"))
+
+
+@query("ext_completeness", "WITH " + FOUND_SQL + "SELECT idx, round((CAST(bank AS INT) + CAST(amount AS INT) + CAST(date AS INT) + CAST(sender AS INT) + CAST(receiver AS INT) + CAST(reference AS INT)) / 6.0, 2) AS completeness FROM w")
 def ext_completeness(spark, sf_dir):
     text = F.col("raw_text")
     f = feed(spark, sf_dir).withColumn("p", slips.labelled_parties(F.col("lines")))
@@ -231,6 +258,24 @@ def ext_completeness(spark, sf_dir):
         F.col("p.receiver"), X.reference_short(text)).alias("completeness"))
 
 
+@query("ext_fill_rate", "WITH " + FOUND_SQL + """, u AS (SELECT unnest([{'field': 'bank', 'f': bank}, {'field': 'amount', 'f': amount}, {'field': 'date', 'f': date}, {'field': 'sender', 'f': sender},
+  {'field': 'receiver', 'f': receiver}, {'field': 'reference', 'f': reference}], recursive := true) FROM w) SELECT field, count_if(f) AS filled, count(*) AS n, CAST(count_if(f) AS DOUBLE) / count(*) AS share FROM u GROUP BY field""")
+def ext_fill_rate(spark, sf_dir):
+    """How often each field is found."""
+    return slips.fill_rates(found_fields(spark, sf_dir), "found")
+
+
+@query("ext_qr_payload", """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'จ่ายบิล ' || o_custkey ELSE 'สแกนจ่าย ' || '0002015802TH54' || lpad(CAST(length(CAST(o_custkey AS VARCHAR)) AS VARCHAR), 2, '0') || o_custkey || ' ขอบคุณ' END AS text FROM orders)
+SELECT id, nullif(regexp_extract(text, '000201[0-9a-zA-Z]+'), '') AS payload, CASE WHEN id % 7 <> 0 THEN regexp_extract(text, 'TH54..([0-9]+)', 1) END AS amount FROM t""")
+def ext_qr_payload(spark, sf_dir):
+    """The payment payload inside of a text, and the amount it holds."""
+    key = F.col("o_custkey").cast("string")
+    payload = F.concat(F.lit("0002015802TH54"), F.lpad(F.length(key).cast("string"), 2, "0"), key)
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("จ่ายบิล "), key)).otherwise(F.concat(F.lit("สแกนจ่าย "), payload, F.lit(" ขอบคุณ")))
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), payments.qr_payload(text).alias("payload"))
+    return found.select("id", "payload", payments.tlv_amount(F.col("payload")).alias("amount"))
+
+
 @query("ext_emv_fields", """
 WITH RECURSIVE p AS (SELECT o_orderkey AS id, concat('000201', '5802TH', '54', lpad(CAST(length(printf('%.2f', o_totalprice)) AS VARCHAR), 2, '0'), printf('%.2f', o_totalprice),
      CASE WHEN o_orderkey % 5 = 0 THEN '62xx99' ELSE '6304ABCD' END) AS payload FROM orders),

@@ -89,12 +89,12 @@ def join_duplicate_link(spark, sf_dir):
 
 
 @query("flt_selection_sets", MATCHED + """
-SELECT CASE WHEN duplicate THEN 'duplicate' WHEN is_slip AND target_matched AND review_required THEN 'review'
-            WHEN is_slip AND target_matched AND t_amount IS NOT NULL THEN 'unique' ELSE 'none' END AS selection,
-       count(*) AS n, min(idx) AS first_index, max(idx) AS last_index FROM r GROUP BY 1""")
+SELECT idx AS index, file_name, t_amount AS amount, duplicate_of, review_reason, CASE WHEN duplicate THEN 'duplicate' WHEN is_slip AND target_matched AND review_required THEN 'review'
+            WHEN is_slip AND target_matched AND t_amount IS NOT NULL THEN 'unique' END AS selection FROM r WHERE duplicate OR is_slip AND target_matched AND (review_required OR t_amount IS NOT NULL)""")
 def flt_selection_sets(spark, sf_dir):
-    return M.selection(flagged(spark, sf_dir)).groupBy("selection").agg(
-        F.count("*").alias("n"), F.min("index").alias("first_index"), F.max("index").alias("last_index"))
+    """The rows of the three subsets: slips that count, slips to review, duplicates."""
+    chosen = M.selection(flagged(spark, sf_dir)).filter("selection <> 'none'")
+    return chosen.select("index", "file_name", "amount", "duplicate_of", "review_reason", "selection")
 
 
 SUMMARY_SQL = """count(*) AS scanned_files, count(*) AS processed_files, count_if(is_slip) AS probable_slips,

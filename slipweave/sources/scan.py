@@ -1,9 +1,10 @@
 """File sources."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slipweave import rules as R
+from slipweave.functions import text as T
 
 
 def scan_files(spark: SparkSession, root: str, extensions: list[str] | None = None, with_content: bool = False) -> DataFrame:
@@ -26,18 +27,55 @@ def read_name_list(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("line", cleaned).filter("line <> ''").drop("value")
 
 
-AUDIT_SCHEMA = """summary STRUCT<scanned_files: BIGINT, document_no: BIGINT>, results ARRAY<STRUCT<file_name: STRING, file_path: STRING, file_hash: STRING,
- raw_text: STRING, is_slip: BOOLEAN, transaction_date: STRING, transaction_time: STRING, sender_bank: STRING, sender_name: STRING,
- sender_account: STRING, receiver_bank: STRING, receiver_name: STRING, receiver_account: STRING, amount: DOUBLE, currency: STRING,
- transaction_id: STRING, memo: STRING, bank_name: STRING, review_reason: STRING, error: STRING>>"""
+def audit_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Audit documents, one per file or, without ``multi_line``, one per line: file, row, payload and results as VARIANT, and ``problem`` of those that can't be read.
 
+    Results are the list ``results`` of the payload, or one object there, or the payload itself where that is a list. Bad documents are rows like all others, with
+    NOT_JSON, NOT_AN_OBJECT or RESULTS_NOT_A_LIST, so one of them does not stop the rest.
+    """
+    given = spark.read.option("wholetext", str(multi_line).lower()).text(path).filter(F.trim("value") != "")
+    read = given.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.try_parse_json("value").alias("payload"))
+    kind = lambda c: F.coalesce(F.regexp_extract(F.schema_of_variant(c), "^[A-Z]+", 0), F.lit("VOID"))
+    inner = F.try_variant_get("payload", "$.results", "variant")
+    found = read.select("*", kind(F.col("payload")).alias("_outer"), inner.alias("_inner"), kind(inner).alias("_kind"))
+    results = (F.when(F.col("_outer") == "ARRAY", F.try_variant_get("payload", "$", "array<variant>")).when(F.col("_kind") == "ARRAY", F.try_variant_get("payload", "$.results", "array<variant>"))
+               .when(F.col("_kind") == "OBJECT", F.array("_inner")))
+    problem = (F.when(F.col("payload").isNull(), "NOT_JSON").when(~F.col("_outer").isin("ARRAY", "OBJECT"), "NOT_AN_OBJECT")
+               .when((F.col("_outer") == "OBJECT") & ~F.col("_kind").isin("ARRAY", "OBJECT", "VOID"), "RESULTS_NOT_A_LIST"))
+    return found.select("file", "row", "payload", results.alias("results"), problem.alias("problem"))
+
+
+def audit_summaries(documents: DataFrame) -> DataFrame:
+    """file, row, problem, scanned_files and document_no as the document states them, results and how many of them are no objects."""
+    plain = lambda r: ~F.coalesce(F.schema_of_variant(r), F.lit("VOID")).startswith("OBJECT")
+    stated = [F.when(F.col("problem").isNull(), F.try_variant_get("payload", f"$.summary.{n}", "bigint")).alias(n) for n in ("scanned_files", "document_no")]
+    return documents.select("file", "row", "problem", *stated, F.coalesce(F.size("results"), F.lit(0)).alias("results"),
+                            F.coalesce(F.size(F.filter("results", plain)), F.lit(0)).alias("skipped"))
+
+
+def read_audit(spark: SparkSession, path: str, multi_line: bool = True, images: DataFrame | None = None) -> DataFrame:
+    """The result objects of audit documents, whatever their shapes, as one row each with the fields of RESULT_PATHS and is_slip.
+
+    The index is (file, document number, document, position in it), which orders the results of any number of files of any size. A date loses its time; that of a displayed date stands in where no
+    time is given (a timestamp's does not); amounts may be texts with separators and currency; a missing currency is the default one. ``images`` (name, path) overrides paths: a result takes the
+    least path of its file name, if there is one.
+    """
+    documents = audit_documents(spark, path, multi_line)
+    rows = documents.select("file", F.coalesce(F.try_variant_get("payload", "$.summary.document_no", "bigint"), F.lit(0)).alias("document"), "row", F.posexplode("results").alias("pos", "r"))
+    rows = rows.filter(F.coalesce(F.schema_of_variant("r"), F.lit("VOID")).startswith("OBJECT"))
 
-def read_audit(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Audit files {summary, results[]} as one row per result object. The index is (file, document number, document, position in it), which
-    orders the results of any number of files of any size."""
-    audits = spark.read.schema(AUDIT_SCHEMA).option("multiLine", str(multi_line).lower()).json(path)
-    rows = audits.select(F.col("_metadata.file_path").alias("file"), F.coalesce("summary.document_no", F.lit(0)).alias("document"), F.monotonically_increasing_id().alias("row"),
-                         F.posexplode("results").alias("pos", "r")).filter(F.col("r").isNotNull())
-    return rows.select(F.struct("file", "document", "row", "pos").alias("index"), "r.*", "pos").withColumn(
-        "file_name", F.coalesce("file_name", F.nullif(F.regexp_extract("file_path", r"([^/]+)$", 1), F.lit("")),
-                                F.concat(F.lit("record-"), (F.col("pos") + 1).cast("string")))).drop("pos")
+    def text(field: str) -> Column:
+        return F.coalesce(*[F.when(F.trim(v) != "", v) for v in (F.try_variant_get("r", f"$.{p}", "string") for p in R.RESULT_PATHS[field])])
+    read = rows.select(F.struct("file", "document", "row", "pos").alias("index"), "pos", F.try_variant_get("r", "$.is_slip", "boolean").alias("is_slip"),
+                       *[text(f).alias(f) for f in R.RESULT_PATHS])
+    moment = F.nullif(F.col("transaction_date"), F.lit("UNKNOWN"))
+    clock = F.when(~moment.rlike("[0-9]T[0-9]"), F.nullif(T.clock_part(moment), F.lit("-")))
+    day = F.nullif(F.split_part(F.split_part(T.calendar_part(F.coalesce(moment, F.lit("-"))), F.lit("T"), F.lit(1)), F.lit(" "), F.lit(1)), F.lit("-"))
+    number = F.nullif(F.regexp_extract(F.replace("amount", F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?(?:[eE]-?\d+)?", 0), F.lit(""))
+    name = F.coalesce("file_name", F.nullif(F.regexp_extract("file_path", r"([^/]+)$", 1), F.lit("")), F.concat(F.lit("record-"), (F.col("pos") + 1).cast("string")))
+    out = read.withColumns({"transaction_date": day, "transaction_time": F.coalesce("transaction_time", clock), "amount": number.try_cast("double"),
+                            "currency": F.coalesce("currency", F.lit(R.DEFAULT_CURRENCY)), "file_name": name}).drop("pos")
+    if images is None:
+        return out
+    places = images.groupBy(F.col("name").alias("file_name")).agg(F.min("path").alias("_path"))
+    return out.join(places, "file_name", "left").withColumn("file_path", F.coalesce("_path", "file_path")).drop("_path")

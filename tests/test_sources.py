@@ -35,6 +35,54 @@ def test_ids_continue_over_appends(spark, tmp_path):
     assert rows[0].bank_name == "UNKNOWN" and rows[0].amount == 0.0 and rows[0].transaction_date == "UNKNOWN"
 
 
+def test_audit_documents_of_any_shape(spark, tmp_path):
+    """Field names of several kinds, a single result, a bare list, and documents that can't be read, in one folder."""
+    given = {"a.json": {"summary": {"scanned_files": 9}, "results": [{"sender": {"name": "A", "bank": "B"}, "amount": "1,234.50 THB", "transaction_date": "2025-05-15T10:00:00", "is_slip": True}, 5, None]},
+             "b.json": {"results": {"senderName": "C", "extracted_transaction_metadata": {"transaction_date_time": "2025-05-16  /  09:30", "amount_transferred": "-"}, "file_path": "/x/y.png"}},
+             "c.json": [{"sender_name": " ", "source_file_name": "z.png", "currency": "USD"}], "d.json": {"results": "x"}, "e.json": 7, "g.json": {"summary": {}}}
+    for name, payload in given.items():
+        (tmp_path / name).write_text(json.dumps(payload, indent=1))
+    (tmp_path / "f.json").write_text("{")
+    documents = scan.audit_documents(spark, str(tmp_path))
+    said = {r.file[-6]: (r.problem, r.scanned_files, r.results, r.skipped) for r in scan.audit_summaries(documents).collect()}
+    assert said == {"a": (None, 9, 3, 2), "b": (None, None, 1, 0), "c": (None, None, 1, 0), "d": ("RESULTS_NOT_A_LIST", None, 0, 0), "e": ("NOT_AN_OBJECT", None, 0, 0),
+                    "f": ("NOT_JSON", None, 0, 0), "g": (None, None, 0, 0)}
+    images = spark.createDataFrame([("y.png", "/img/2/y.png"), ("y.png", "/img/1/y.png")], "name string, path string")
+    rows = scan.read_audit(spark, str(tmp_path), images=images).orderBy("index").collect()
+    assert [(r.file_name, r.file_path, r.sender_name, r.sender_bank, r.amount, r.currency, r.transaction_date, r.transaction_time, r.is_slip) for r in rows] == [
+        ("record-1", None, "A", "B", 1234.5, "THB", "2025-05-15", None, True), ("y.png", "/img/1/y.png", "C", None, None, "THB", "2025-05-16", "09:30", None), ("z.png", None, None, None, None, "USD", None, None, None)]
+
+
+def test_a_batch_written_again_changes_nothing(spark, tmp_path):
+    schema = "index long, bank_name string, transaction_date date, transaction_time string, transaction_id string, sender_name string, receiver_name string, amount double"
+    path = str(tmp_path / "r")
+
+    def append(batch, *numbers):
+        sinks.append_records(spark.createDataFrame([(n, None, None, None, f"t{n}", None, None, 1.0) for n in numbers], schema), path, batch=batch)
+
+    def table():
+        return sorted((r.id, r.batch, r.transaction_id) for r in spark.read.parquet(path).collect())
+    append(1, 5, 6)
+    append(0, 1, 2, 3)
+    before = table()
+    append(1, 5, 6)
+    assert table() == before == [(1, 0, "t1"), (2, 0, "t2"), (3, 0, "t3"), ((1 << 32) + 1, 1, "t5"), ((1 << 32) + 2, 1, "t6")]
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), "no long, id long, t string").select("no", "id", F.col("t").cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+        ingest.keep_late(ingest.watch_folder(spark, folder, "no long, id long, ts timestamp"), "id", "ts", "no", "1 HOUR", out, mark)
+    arrive((1, 1, "2024-01-01 00:10:00"), (2, 1, "2024-01-01 00:00:00"), (3, 2, "2024-01-01 00:30:00"))
+    arrive((4, 1, "2024-01-01 00:20:00"), (5, 3, "2024-01-01 03:00:00"))
+    arrive((6, 4, "2024-01-01 00:40:00"), (7, 1, "2024-01-01 02:00:00"), (8, 3, "2024-01-01 02:10:00"))
+    arrive()
+    read = lambda kind: sorted(r.no for r in spark.read.parquet(f"{out}/{kind}").collect())
+    assert read("kept") == [2, 3, 5, 7] and read("late") == [6]
+
+
 def test_late_repeat_is_new_after_the_window(spark, tmp_path):
     folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "id long, ts timestamp"
