@@ -236,7 +236,9 @@ def indexed(rows: DataFrame, length: int, block: int = BLOCK_BYTES) -> DataFrame
                 size += len(row[4])
         if held:
             yield from solve(held)
-    return (rows.select("core", "doc", "h", "start", "bytes").repartition("core").sortWithinPartitions("core")
+    # one partition per block of bytes: the work is in the index, not in the bytes that adaptive execution would merge partitions by
+    parts = 1 + (rows.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // block
+    return (rows.select("core", "doc", "h", "start", "bytes").repartition(parts, "core").sortWithinPartitions("core")
             .mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, h bigint, start bigint, stop bigint"))
 
 
@@ -360,4 +362,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
 
 @query("op10_run_index_dedup")
 def op10_run_index_dedup(spark, sf_dir):
-    return remove_repeats(documents(spark, sf_dir), keep_bytes=False)
+    """The contract's columns and ``text``, what is left of each text; characters that a removed run cuts show as U+FFFD."""
+    return remove_repeats(documents(spark, sf_dir)).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
