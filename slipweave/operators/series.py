@@ -78,6 +78,7 @@ def totals_between(rows: DataFrame, spans: DataFrame, values: dict, block: int =
     """Adds sums of ``values`` over the rows [start, end] of each span: two equality joins on running
     totals instead of a range join."""
     totals = running_total(rows, KEY, "y", {f"_t_{n}": F.round(c.cast("double") * UNIT).cast("bigint") for n, c in values.items()}, block)
+    totals = materialize(totals.select(*KEY, "y", *[f"_t_{n}" for n in values]))
     upto = totals.select(*KEY, F.col("y").alias("end"), *[F.col(f"_t_{n}").alias(f"_b_{n}") for n in values])
     before = totals.select(*KEY, (F.col("y") + 1).alias("start"), *[F.col(f"_t_{n}").alias(f"_a_{n}") for n in values])
     j = spans.join(upto, [*KEY, "end"], "left").join(before, [*KEY, "start"], "left")

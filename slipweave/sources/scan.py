@@ -33,7 +33,7 @@ def audit_documents(spark: SparkSession, path: str, multi_line: bool = True) ->
     Results are the list ``results`` of the payload, or one object there, or the payload itself where that is a list. Bad documents are rows like all others, with
     NOT_JSON, NOT_AN_OBJECT or RESULTS_NOT_A_LIST, so one of them does not stop the rest.
     """
-    given = spark.read.option("wholetext", str(multi_line).lower()).text(path).filter(F.trim("value") != "")
+    given = spark.read.text(path, wholetext=multi_line).filter(F.trim("value") != "")
     read = given.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.try_parse_json("value").alias("payload"))
     kind = lambda c: F.coalesce(F.regexp_extract(F.schema_of_variant(c), "^[A-Z]+", 0), F.lit("VOID"))
     inner = F.try_variant_get("payload", "$.results", "variant")

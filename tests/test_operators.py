@@ -362,6 +362,65 @@ def test_near_copies_brute_force(spark):
     assert all(k % 10 in (1, 2) for k in got)
 
 
+def test_near_groups_brute_force(spark):
+    """Chains, crowds that share a run without being similar, and exact copies; every document is in the group that pair-by-pair comparison gives."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for g in range(6):
+        base = [rng.choice(words) for _ in range(80)]
+        for i in range(rng.choice([1, 3, 30])):
+            t = list(base)
+            for k in rng.sample(range(80), min(2, i)):
+                t[k] = f"c{g}x{i}x{k}"
+            texts.append(" ".join(t))
+    chain = [rng.choice(words) for _ in range(200)]
+    for i in range(12):
+        chain = list(chain)
+        chain[10 * i:10 * i + 6] = [f"n{i}x{k}" for k in range(6)]
+        texts.append(" ".join(chain))
+    shared = " ".join(f"b{i}" for i in range(60))
+    texts += [shared + " " + " ".join(f"o{i}x{k}" for k in range(40)) for i in range(25)]
+    texts += texts[::7] + ["", "", "short one"]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    want = {i: (group[i], "exact" if first[t] != i else "first" if group[i] == i else "near") for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for small in (4, 16):
+        assert {r.doc_id: (r.group_id, r.kind) for r in documents.near_groups(df, small=small).collect()} == want
+    assert documents.near_groups(df.filter("doc_id < 0")).count() == 0
+
+
+def test_overlaps_brute_force(spark):
+    """Few different turns, so that many lengths are possible and several are right."""
+    rng = random.Random(19)
+    convs = [[rng.choice("ab") for _ in range(rng.randint(1, 40))] for _ in range(60)]
+    for i in range(0, 58, 3):
+        convs[i + 1] = convs[i][-rng.randint(1, len(convs[i])):] + convs[i + 1]
+    turns = spark.createDataFrame([(c, k, h) for c, t in enumerate(convs) for k, h in enumerate(t)], "conv_id long, pos long, h string").repartition(3)
+    order = spark.createDataFrame([(c, c + 1, len(convs[c])) for c in range(len(convs) - 1)], "conv_id long, next_id long, n long")
+    lengths = {c: max((k for k in range(1, min(len(a), len(b)) + 1) if a[-k:] == b[:k]), default=0) for c, (a, b) in enumerate(zip(convs, convs[1:]))}
+    found = layout.overlap_lengths(turns, order)
+    assert {r.conv_id: r.overlap for r in found.collect()} == {c: k for c, k in lengths.items() if k}
+    left = {}
+    for r in layout.trimmed_turns(turns, found).orderBy("conv_id", "pos").collect():
+        left.setdefault(r.conv_id, []).append((r.pos, r.h))
+    cut = {c: lengths[c - 1] if c and lengths[c - 1] < len(t) else 0 for c, t in enumerate(convs)}
+    assert left == {c: list(enumerate(t[cut[c]:])) for c, t in enumerate(convs)}
+
+
 def test_money_helpers(spark):
     assert one(spark, "x 1,234.50 THB", T.first_number) == 1234.5
     assert one(spark, "none", T.first_number) == 0.0
