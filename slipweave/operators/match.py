@@ -31,26 +31,35 @@ def _grams(c: Column, width: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.lit(width), F.substring(c, i, F.lit(width)))))
 
 
+def _inner_words(c: Column) -> Column:
+    """The words of a normalised name but the first and the last: where the name occurs in a text, these are whole words of it."""
+    words = F.split(c, " ")
+    return F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
+
+
 def match_targets(slips: DataFrame, targets: DataFrame, widths: tuple[int, ...] = GRAM_WIDTHS) -> DataFrame:
     """Every (slip, target) pair whose target occurs in the receiver name or the text; ``index`` identifies a slip.
 
-    A target is represented by its rarest gram, of the largest of ``widths`` that fits into it. The texts are unfolded into
-    (index, gram hash) only, and only for the widths that targets use; the exact test then runs on each candidate pair once.
+    A target is represented by its rarest inner word; one of fewer than three words by its rarest gram, of the largest of ``widths`` that fits into it. The texts are
+    unfolded into (index, hash) only, into words where a target is represented by one and into grams of the widths that targets use; the exact test then
+    runs on each candidate pair once.
     """
     norm = targets.select("*", normalize_for_match(F.col("target")).alias("_t"))
     hay = slips.withColumn("_hay", F.concat(normalize_for_match(F.col("receiver_name")), F.lit("\n"),
                                             normalize_for_match(F.col("raw_text"))))
     fits = F.coalesce(*[F.when(F.length("_t") >= w, F.lit(w)) for w in sorted(widths, reverse=True)], F.lit(0))
-    sized = norm.select(F.col("_t"), fits.alias("_w")).distinct()
+    sized = norm.select(F.col("_t"), F.when(F.size(_inner_words(F.col("_t"))) > 0, -1).otherwise(fits).alias("_w")).distinct()
     used = sorted(r["_w"] for r in sized.select("_w").distinct().collect())  # at most one row per width
     everywhere = F.array(F.lit(0).cast("bigint"))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(F.lit(-1), w))
     pick = everywhere
     for w in used:
-        pick = F.when(F.col("_w") == w, _grams(F.col("_t"), w) if w else everywhere).otherwise(pick)
+        pick = F.when(F.col("_w") == w, hashed(_inner_words(F.col("_t"))) if w < 0 else _grams(F.col("_t"), w) if w else everywhere).otherwise(pick)
     exploded = sized.select("_t", F.explode(pick).alias("_g"))
     counted = exploded.groupBy("_g").agg(F.count("*").alias("_n"))
     chosen = exploded.join(counted, "_g").groupBy("_t").agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
-    probes = F.flatten(F.array(*[_grams(F.col("_hay"), w) if w else everywhere for w in used])) if used else everywhere
+    probe = lambda w: hashed(F.split("_hay", "[ \n]")) if w < 0 else _grams(F.col("_hay"), w) if w else everywhere
+    probes = F.flatten(F.array(*[probe(w) for w in used])) if used else everywhere
     candidates = (hay.select("index", F.explode(F.array_distinct(probes)).alias("_g")).join(chosen, "_g").select("index", "_t").distinct())
     found = hay.join(candidates, "index").filter(F.contains("_hay", F.col("_t")))
     return found.join(norm, "_t").drop("_hay", "_t")
