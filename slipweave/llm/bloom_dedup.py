@@ -8,11 +8,12 @@ corpus outgrows it, more rows count as possibly repeated and the result stays th
 
 Texts are equal when identical without ASCII blanks; null counts as empty, so null, empty and blank texts are one group.
 Of equal texts the row with the most code points in its original text stays, then the one with the smallest doc_id; a null
-doc_id sorts last. Rows that share doc_id and text count in group_size; the survivors hold such a row once.
+doc_id sorts last. Ids may be of any type that can be ordered. Of rows that share a doc_id and differ in blanks only the one that stays is kept. Rows that share
+doc_id and text count in group_size; the survivors hold such a row once.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slipweave.llm.common import attach, blank_free, column, documents, stored
 from slipweave.llm.registry import query
@@ -48,11 +49,15 @@ def _tested(df: DataFrame, digest: str, words: int, twice: DataFrame) -> DataFra
 
 
 def dedup_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_code_points, text_sha256 of every row: all that the comparison needs."""
-    return docs.select(column(doc_id).alias("doc_id"), F.coalesce(F.char_length(column(text)), F.lit(0)).cast("bigint").alias("n_code_points"),
+    """doc_id, n_code_points, h (a hash of the original text), text_sha256 of every row: all that the comparison needs."""
+    return docs.select(column(doc_id).alias("doc_id"), _code_points(column(text)).alias("n_code_points"), F.xxhash64(column(text)).alias("h"),
                        F.sha2(blank_free(column(text)), 256).alias("text_sha256"))
 
 
+def _code_points(text: Column) -> Column:
+    return F.coalesce(F.char_length(text), F.lit(0)).cast("bigint")
+
+
 def filter_words(n_rows: int, max_words: int = MAX_WORDS) -> int:
     words = 1
     while words < max_words and words * 64 < n_rows * BITS_PER_ROW:
@@ -60,9 +65,9 @@ def filter_words(n_rows: int, max_words: int = MAX_WORDS) -> int:
     return words
 
 
-def _best():
-    """Order of the row that stays: most code points, then smallest doc_id."""
-    return F.struct(F.col("n_code_points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("neg"))
+def _first() -> Column:
+    """Order of the row that stays: most code points, then smallest doc_id, then the hash of the original text."""
+    return F.struct((-F.col("n_code_points")).alias("less"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
@@ -74,10 +79,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     straight = tested.filter(~F.col("_maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.filter("_maybe").drop("_maybe")
-    groups = stored(maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max(_best()).alias("_top"))
-                    .select("text_sha256", "group_size", (-F.col("_top.neg")).alias("keep_id")))
+    groups = stored(maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(_first()).alias("_top"))
+                    .select("text_sha256", "group_size", F.col("_top.doc_id").alias("keep_id"), F.col("_top.h").alias("keep_h")))
     met = attach(maybe, groups, ["text_sha256"], "group_size", total)
-    return straight.unionByName(met.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
+    return straight.unionByName(met.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
@@ -85,14 +91,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     keys = stored(dedup_keys(docs, doc_id, text))
     words = filter_words(keys.count(), max_words)
     twice = stored(repeat_filter(keys, "text_sha256", words))
-    wide = docs.select(F.struct("*").alias("row"), column(doc_id).alias("id"), F.sha2(blank_free(column(text)), 256).alias("sha"))
+    wide = docs.select(F.struct("*").alias("row"), column(doc_id).alias("id"), F.xxhash64(column(text)).alias("h"), F.sha2(blank_free(column(text)), 256).alias("sha"))
     tested = _tested(wide, "sha", words, twice)
-    winners = (_tested(keys, "text_sha256", words, twice).filter("_maybe").groupBy("text_sha256").agg(F.max(_best()).alias("_top"))
-               .select(F.col("text_sha256").alias("sha"), (-F.col("_top.neg")).alias("keep")))
+    winners = (_tested(keys, "text_sha256", words, twice).filter("_maybe").groupBy("text_sha256").agg(F.min(_first()).alias("_top"))
+               .select(F.col("text_sha256").alias("sha"), F.col("_top.doc_id").alias("keep"), F.col("_top.h").alias("keep_h")))
     straight = tested.filter(~F.col("_maybe")).select("row.*")
     # rows are shuffled by digest and id, so the copies of one text do not meet in one task
-    candidates = tested.filter("_maybe").select("row", "id", "sha").alias("c")
-    chosen = candidates.join(winners.alias("w"), F.expr("c.sha = w.sha and c.id <=> w.keep"), "left_semi")
+    candidates = tested.filter("_maybe").select("row", "id", "h", "sha").alias("c")
+    chosen = candidates.join(winners.alias("w"), F.expr("c.sha = w.sha and c.id <=> w.keep and c.h = w.keep_h"), "left_semi")
     return straight.unionByName(chosen.dropDuplicates(["sha", "id"]).select("row.*"))
 
 

@@ -40,6 +40,16 @@ def test_exact_survivors(spark):
     assert bloom_dedup.exact_groups(brute.empty_frame(spark)).count() == 0
 
 
+def test_survivor_among_repeated_and_text_ids(spark):
+    """Of rows with one id and equal texts but for blanks the longest one stays; ids may be texts."""
+    df = spark.createDataFrame([(1, "a b"), (1, "a  b   "), (2, "a b"), (3, "c")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in bloom_dedup.exact_dedup(df).collect()) == [(1, "a  b   "), (3, "c")]
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in bloom_dedup.exact_groups(df).collect()) == [(1, 1, False), (1, 1, True), (2, 1, False), (3, 3, True)]
+    named = spark.createDataFrame([("x", "a b"), ("b", "ab"), ("c", "a b"), (None, "a b")], "doc_id string, text string")
+    assert [r.doc_id for r in bloom_dedup.exact_dedup(named).collect()] == ["c"]
+    assert sorted((r.doc_id or "", r.keep_id, r.kept) for r in bloom_dedup.exact_groups(named).collect()) == [("", "c", False), ("b", "c", False), ("c", "c", True), ("x", "c", False)]
+
+
 def test_covering_masks_cover():
     """Every pattern of up to four differing bits is blotted out by some mask."""
     rng = np.random.default_rng(1)
