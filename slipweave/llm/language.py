@@ -9,8 +9,12 @@ Four kinds of evidence meet in one posterior per row:
 * host: a prior smoothed along host, registrable domain, suffix and the whole corpus. Each level is a grouped sum of the rows' text
   likelihoods and leans on the next one with PSEUDO rows; a row is left out of its own host's sum.
 
+Which of the languages fits best says nothing of a text in none of them. So each text is also held against what its best model expects of its own texts: a model gains so many nats
+per trigram over the guess that all trigrams are alike, and where the mean log-likelihood of a text falls short of the model's own by more than MAX_SHORTFALL times that gain,
+the text is in another language. Texts with fewer than MIN_GRAMS trigrams are too short to tell.
+
 A row is kept when its text has letters, the fused language is accepted and has a probability of at least MIN_CONFIDENCE.
-Null and letterless texts have language 'und' and are not kept. A missing or unknown declaration, host or suffix is no evidence; rows
+Null and letterless texts and texts in another language have language 'und', confidence zero, and are not kept. A missing or unknown declaration, host or suffix is no evidence; rows
 without a host share the corpus prior. Ties go to the language that is named first. Repeated rows are judged alike. An empty
 table, or one without declared languages, has uniform text models.
 """
@@ -32,6 +36,8 @@ TEMPER = 100.0
 DECLARED_TRUST, SUFFIX_TRUST = 0.8, 0.7
 PSEUDO = 20.0
 MIN_CONFIDENCE = 0.5
+#: How far a text may fall short of its model, in parts of the model's gain, and trigrams from which on that is judged.
+MAX_SHORTFALL, MIN_GRAMS = 1.35, 30
 #: Country suffixes and their language: fixed values.
 SUFFIXES = {"at": "de", "au": "en", "be": "fr", "ch": "de", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en",
             "mx": "es", "nz": "en", "pe": "es", "uk": "en", "us": "en"}
@@ -82,9 +88,12 @@ def text_model(counts: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
 
 
 def text_likelihoods(texts: DataFrame, model: np.ndarray) -> DataFrame:
-    """texts (id, declared, host, text) with ll, the tempered log-likelihoods, and n_grams instead of the text."""
+    """texts (id, declared, host, text) with ll, the tempered log-likelihoods, n_grams, and short, how far the mean falls short of the best model's in parts of its gain, instead of the text."""
     import pyarrow as pa
 
+    expected = (np.exp(model) * model).sum(axis=1)
+    gain = np.maximum(expected + np.log(BUCKETS), 1e-6)
+
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             data, offsets = buffer_of(batch.column(3))
@@ -94,11 +103,12 @@ def text_likelihoods(texts: DataFrame, model: np.ndarray) -> DataFrame:
                 n += np.bincount(row, minlength=rows)
                 for k, logp in enumerate(model):
                     sums[:, k] += np.bincount(row, weights=logp[bucket], minlength=rows)
+            short = ((expected - sums / np.maximum(n, 1)[:, None]) / gain).min(axis=1)
             sums *= np.minimum(1.0, TEMPER / np.maximum(n, 1))[:, None]
             ll = pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * len(model), len(model), dtype=np.int32)), pa.array(np.round(sums, 6).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ll, pa.array(n)], names=["id", "declared", "host", "ll", "n_grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ll, pa.array(n), pa.array(np.round(short, 6))], names=["id", "declared", "host", "ll", "n_grams", "short"])
     kinds = dict(texts.dtypes)
-    return texts.mapInArrow(run, f"id {kinds['id']}, declared string, host string, ll array<double>, n_grams bigint")
+    return texts.mapInArrow(run, f"id {kinds['id']}, declared string, host string, ll array<double>, n_grams bigint, short double")
 
 
 def _soft(ll: Column) -> Column:
@@ -174,12 +184,12 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, accepted:
         values = [F.when(language.isin(*languages), F.when(language == x, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(miss))))).otherwise(F.lit(0.0)) for x in languages]
         return F.array(*values)
     country = F.element_at(F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair]), suffix_of(F.coalesce("host", F.lit(""))))
-    fused = met.select("id", "ll", "n_grams", F.transform(prior, lambda p: F.log(p)).alias("a"), pointing(F.coalesce("declared", F.lit("")), DECLARED_TRUST).alias("b"),
+    fused = met.select("id", "ll", "n_grams", "short", F.transform(prior, lambda p: F.log(p)).alias("a"), pointing(F.coalesce("declared", F.lit("")), DECLARED_TRUST).alias("b"),
                        pointing(F.coalesce(country, F.lit("")), SUFFIX_TRUST).alias("c"))
-    fused = fused.select("id", "ll", "n_grams", _soft(F.transform(F.arrays_zip("ll", "a", "b", "c"), lambda s: s["ll"] + s["a"] + s["b"] + s["c"])).alias("p"))
+    fused = fused.select("id", "ll", "n_grams", "short", _soft(F.transform(F.arrays_zip("ll", "a", "b", "c"), lambda s: s["ll"] + s["a"] + s["b"] + s["c"])).alias("p"))
     names = F.array(*[F.lit(x) for x in languages])
     best = lambda a: names[(F.array_position(a, F.array_max(a)) - 1).cast("int")]
-    known = F.col("n_grams") > 0
+    known = (F.col("n_grams") > 0) & ((F.col("n_grams") < MIN_GRAMS) | (F.col("short") <= MAX_SHORTFALL))
     out = fused.select("id", F.when(known, best(F.col("p"))).otherwise("und").alias("lang"), F.when(known, F.round(F.array_max("p"), 6)).otherwise(0.0).alias("confidence"),
                        F.when(known, best(F.col("ll"))).otherwise("und").alias("text_lang"), "n_grams")
     return out.withColumn("kept", F.col("lang").isin(*(accepted or languages)) & (F.col("confidence") >= min_confidence))
