@@ -3,8 +3,10 @@
 Detected entities are replaced by made-up ones of the same kind and form. An entity is a list of units: an address has a local part and a
 domain, a name its given names and its surname. Units with one (kind, core) get one surrogate everywhere, so mentions that refer to one
 entity still do: a phone number written in two ways, or 'Mr. Smith' after 'Mr. John Smith'. A surrogate is drawn by a keyed hash of kind, core
-and attempt: digits stay digits and letters stay letters of their case, given names keep gender and script, card numbers keep a right check
-digit, addresses keep their top-level domain, octets their width. The mention's own punctuation is kept.
+and attempt: digits stay digits and letters stay letters of their case, names keep gender and script, card numbers keep a right check
+digit, addresses keep their top-level domain, octets their width. The mention's own punctuation is kept. Surnames that differ by gender are one unit, the
+form of a man, and appear in the form that the mention's honorific asks for. First draws of names come from short lists; where these are taken, names are
+built from syllables, about as long as the original.
 
 Collision checks run over the table of distinct units: a surrogate that another unit of its kind has, or that is itself a real unit, is
 drawn again with the next attempt. Attempts from WIDEN on lengthen the surrogate, so the loop ends also where all values of a form are taken.
@@ -26,6 +28,7 @@ WIDEN = 6
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"]
 TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\b\.?"
+WOMAN = "(?:" + "|".join(FEMALE) + r")\b"
 WORD = r"\p{Lu}[\p{L}\p{M}'’-]*+"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"{OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"
@@ -57,6 +60,19 @@ SURNAMES = {
 }
 
 
+#: Syllables that further names are built from, and the endings of given names by gender and of surnames.
+SYLLABLES = {
+    "latin": [c + v for c in "bdfgklmnprstv" for v in "aeiou"],
+    "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"],
+    "greek": [c + v for c in "βγδζκλμνπρστφ" for v in "αειου"],
+}
+ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на", ("greek", "m"): "ς", ("greek", "f"): "να",
+           "latin": "ner", "cyrillic": "нов", "greek": "νίδης"}
+#: Endings of surnames of men and women, as (pattern of a woman's form, the man's) and (pattern of a man's form, the woman's), by script.
+TO_MALE = {"cyrillic": [("(ов|ев|ёв|ин|ын)а$", "$1"), ("ская$", "ский"), ("цкая$", "цкий")]}
+TO_FEMALE = {"cyrillic": [("(ов|ев|ёв|ин|ын)$", "$1а")], "greek": [("ίδης$", "ίδου"), ("ής$", "ή"), ("ός$", "ού"), ("ος$", "ου")]}
+
+
 def _digest(kind: Column, core: Column, attempt: int, key: str, block: Column | int = 0) -> Column:
     block = block.cast("string") if isinstance(block, Column) else F.lit(str(block))
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, core, F.lit(str(attempt)), block), 256)
@@ -102,10 +118,25 @@ def script(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(names: list[str], kind: Column, core: Column, attempt: int, key: str) -> Column:
-    """A name of the list; later attempts join more of them, so there are enough for any number of units."""
-    d, pick = _digest(kind, core, attempt, key), F.array(*[F.lit(n) for n in names])
-    return F.concat_ws("-", *[F.get(pick, _number(d, 8 * k + 1, 6) % len(names)) for k in range(1 + attempt)][:8])
+def _name(names: list[str], script: str, ending: str, kind: Column, core: Column, attempt: int, key: str) -> Column:
+    """At first a name of the list; later ones are built from syllables and an ending, as long as the core at least up to one syllable."""
+    d = _digest(kind, core, attempt, key)
+    if not attempt:
+        return F.get(F.array(*[F.lit(n) for n in names]), _number(d, 1, 6) % len(names))
+    table = SYLLABLES[script]
+    pick, count = F.array(*[F.lit(x) for x in table]), F.greatest(F.lit(1), F.least(F.lit(9), F.ceil((F.length(core) - len(ending)) / 2).cast("int"))) + min(1, (attempt - 1) // 2)
+    return F.concat(F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.get(pick, _number(d, k * 6 + 1, 6) % len(table))), "")), F.lit(ending))
+
+
+def _reformed(word: Column, rules: dict, script_of: Column) -> Column:
+    """The word in the form of the other gender, by the first rule of its script that fits."""
+    out = word
+    for script_name, pairs in rules.items():
+        changed = word
+        for pattern, replacement in reversed(pairs):
+            changed = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, replacement)).otherwise(changed)
+        out = F.when(script_of == script_name, changed).otherwise(out)
+    return out
 
 
 def surrogate(kind: Column, core: Column, attempt: int, key: str) -> Column:
@@ -114,9 +145,9 @@ def surrogate(kind: Column, core: Column, attempt: int, key: str) -> Column:
     fresh_card = _letters(core, kind, attempt, key, F.lit(1))
     out = out.when((kind == "card") & _valid_card(core), F.concat(F.substring(fresh_card, 1, 15), _check_digit(fresh_card)))
     for (s, gender), names in GIVEN.items():
-        out = out.when(kind == f"given-{s}-{gender}", _name(names, kind, core, attempt, key))
+        out = out.when(kind == f"given-{s}-{gender}", _name(names, s, ENDINGS[s, gender], kind, core, attempt, key))
     for s, names in SURNAMES.items():
-        out = out.when(kind == f"surname-{s}", _name(names, kind, core, attempt, key))
+        out = out.when(kind == f"surname-{s}", _name(names, s, ENDINGS[s], kind, core, attempt, key))
     kept = F.when(kind == "card", 1).when(kind.isin("phone1", "phone2", "phone3"), F.substring(kind, 6, 1).cast("int")).when(kind == "iban", 2).when((kind == "secret") & core.startswith("AKIA"), 4).otherwise(0)
     out = out.otherwise(_letters(core, kind, attempt, key, kept))
     if attempt >= WIDEN:
@@ -140,8 +171,11 @@ def units_of(m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     country = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
     named = F.split(F.regexp_replace(m, f"^{TITLE} ", ""), " ")
-    gender = F.when(m.rlike("^(?:" + "|".join(FEMALE) + r")\b"), "f").otherwise("m")
-    parts = F.transform(named, lambda w, i: unit(F.when(i == F.size(named) - 1, F.concat(F.lit("surname-"), script(w))).otherwise(F.concat(F.lit("given-"), script(w), F.lit("-"), gender)), w))
+    female = m.rlike(f"^{WOMAN}")
+    gender = F.when(female, "f").otherwise("m")
+    last = lambda i: i == F.size(named) - 1
+    parts = F.transform(named, lambda w, i: unit(F.when(last(i), F.concat(F.lit("surname-"), script(w))).otherwise(F.concat(F.lit("given-"), script(w), F.lit("-"), gender)),
+                                                 F.when(last(i) & female, _reformed(w, TO_MALE, script(w))).otherwise(w)))
     return (F.when(kind == "email", F.array(unit(F.lit("email"), F.concat(F.lower(local), F.lit("@"), F.lower(host))), unit(F.lit("domain"), F.lower(F.regexp_replace(host, r"\.[^.]*$", "")))))
             .when(kind == "secret", F.array(unit(F.lit("secret"), F.regexp_extract(m, r"([A-Za-z0-9_+/-]+)$", 1))))
             .when(kind == "name", parts)
@@ -168,7 +202,7 @@ def rendered(m: Column, s: Column) -> Column:
     title = F.regexp_extract(m, f"^{TITLE} ", 0)
     return (F.when(kind == "email", F.concat(F.substring_index(one, "@", 1), F.lit("@"), s[1], tld))
             .when(kind == "secret", F.concat(F.regexp_replace(m, r"[A-Za-z0-9_+/-]+$", ""), one))
-            .when(kind == "name", F.concat(title, F.array_join(s, " ")))
+            .when(kind == "name", F.concat(title, F.array_join(F.transform(s, lambda w, i: F.when((i == F.size(s) - 1) & m.rlike(f"^{WOMAN}"), _reformed(w, TO_FEMALE, script(w))).otherwise(w)), " ")))
             .when(kind == "ip", one)
             .when(kind == "iban", _refill(m, one, "[A-Z0-9]"))
             .otherwise(_refill(m, one, "[0-9]")))

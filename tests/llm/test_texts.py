@@ -1,9 +1,11 @@
 """Tokens, languages, quality, privacy and mixing."""
 import hashlib
+import itertools
 import re
 from collections import Counter
 
 import numpy as np
+import regex
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,20 @@ def test_language_edges(spark):
     assert language.keep_identified(brute.empty_frame(spark)).count() == 0
 
 
+def test_other_languages_are_not_identified(spark, sf_dir):
+    """Texts in languages without a model, whatever they are declared as; documents of the four languages stay."""
+    docs = [(d, t, x, s) for d, t, x, s in brute.documents(spark, sf_dir)]
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+             "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+             "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。"]
+    rows = docs + [(100_000 + i, t, x, "src0") for i, t in enumerate(other) for x in (None, "en")][::2] + [(200_000, other[0], "ru", None)]
+    frame = spark.createDataFrame(rows, "id bigint, text string, declared string, host string")
+    got = {r.id: (r.lang, r.confidence, r.kept) for r in language.identify(frame).collect()}
+    assert all(v == ("und", 0.0, False) for k, v in got.items() if k >= 100_000)
+    before = brute.posterior(rows, language.LANGUAGES)
+    assert all(got[d][0] == before[d][0] and got[d][2] == (before[d][0] != "und" and before[d][1] >= language.MIN_CONFIDENCE) for d, _, _, _ in docs)
+
+
 def test_surrogates_are_distinct_consistent_and_typed(spark):
     people = [(i, f"Mr. John Smith{i % 3 * 'x'} wrote a{i}.b@mail{i % 4}.example.com, call +1 (564) 555-{4000 + i} or +1 564 555 {4000 + i}; card 4111 1111 1111 1111; "
                   f"from 10.2.33.{100 + i}. Frau Anna Meier, Господин Иван Петров. token = \"{'0a1b2c3d4e' * 2}{i:02x}\"") for i in range(40)]
@@ -189,6 +205,60 @@ def test_secrets_in_capitals_and_addresses_after_phones(spark):
     assert re.fullmatch(r'TOKEN = "[0-9A-Z]{16}" here', got[1][1]) and re.fullmatch(r"call \+1 \d{3} \d{3} \d{4} \d{2}\.\d\.\d{3}\.\d{3} now", got[3][1])
 
 
+def test_surnames_keep_gender_and_person(spark):
+    """Госпожа Иванова and Господин Иванов are one surname in two forms; names beyond the lists are built, as long as the original or nearly so."""
+    names = ["".join(p) for p in itertools.product(["Ка", "По", "Ли", "Се", "Ду"], ["ра", "го", "ми", "не", "вы"], ["ш", "т", "р", "л"], ["ов", "ев"])]
+    rows = [(i, f"Господин {w}, Госпожа {w}а и Госпожа Анна {w}а") for i, w in enumerate(names)] + [(900, "Κυρία Βλάχου και Κύριος Παππός")]
+    got = {r.doc_id: r.clean_text for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    drawn = set()
+    for i, w in enumerate(names):
+        man, woman, again = re.fullmatch(r"Господин (\w+), Госпожа (\w+) и Госпожа \w+ (\w+)", got[i]).groups()
+        assert re.search("(ов|ев|ин)$", man) and woman == again == man + "а" and abs(len(man) - len(w)) <= 4
+        drawn.add(man)
+    assert len(drawn) == len(names) and not drawn & set(names)
+    assert re.fullmatch(r"Κυρία \w+(ου|ού|ή|ίδου) και Κύριος \w+", got[900])
+
+
+def _parts(kind, m):
+    """What a mention says beside its form: the units that have one surrogate each."""
+    if kind == "email":
+        return [("email", m.lower())]
+    if kind == "name":
+        title, *words = m.split(" ")
+        woman = regex.match(surrogates.WOMAN, m) is not None
+        return [(f"given {woman}", w) for w in words[:-1]] + [("surname", re.sub("(ов|ев|ёв|ин|ын)а$", r"\1", words[-1]) if woman else words[-1])]
+    if kind == "secret":
+        return [("secret", re.search(r"[A-Za-z0-9_+/-]+$", m)[0])]
+    return [("ip", m)] if kind == "ip" else [("iban", m.replace(" ", ""))] if kind == "iban" else [("phone" if kind == "phone" else kind, re.sub("[^0-9]", "", m))]
+
+
+def test_surrogates_brute_force(spark, sf_dir):
+    """On whole documents: entities are those that the patterns find one by one, the text between them stays, one unit has one surrogate, no two share one and none is real."""
+    rows = [(d, t) for d, t, _, _ in brute.documents(spark, sf_dir)]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    any_of, kinds = regex.compile(surrogates.ANY), ["email", "secret", "name", "phone", "ip", "ssn", "card", "iban"]
+    drawn = {}
+    for d, text in rows:
+        found = list(any_of.finditer(text or ""))
+        assert got[d].n_entities == len(found), d
+        pattern, at = "", 0
+        for m in found:
+            kind = next(k for k in kinds if regex.fullmatch(surrogates.PATTERNS[k], m[0]))
+            # only names change their length
+            pattern += regex.escape(text[at:m.start()]) + (r"(\w+\.?(?: [\w'’-]+)+?)" if kind == "name" else f"((?s:.{{{len(m[0])}}}))")
+            at = m.end()
+        new = regex.fullmatch(pattern + regex.escape(text[at:]), got[d].clean_text) if found else None
+        assert (new is not None) == bool(found) and (found or got[d].clean_text == text)
+        for m, s in zip(found, new.groups() if found else ()):
+            kind = next(k for k in kinds if regex.fullmatch(surrogates.PATTERNS[k], m[0]))
+            assert re.sub(r"\w", "", m[0]) == re.sub(r"\w", "", s) or kind in ("name", "ip")
+            for (family, a), (_, b) in zip(_parts(kind, m[0]), _parts(kind, s), strict=True):
+                assert drawn.setdefault((family, a), b) == b
+    for family in {f for f, _ in drawn}:
+        own = {a: b for (f, a), b in drawn.items() if f == family}
+        assert len(set(own.values())) == len(own) and not set(own) & set(own.values())
+
+
 def test_surrogates_of_a_crowded_form(spark):
     """All 256 last octets of width three and less: collisions are redrawn until all differ and none is real."""
     units = [("ssn", f"{i:03d}") for i in range(0, 1000, 2)]
