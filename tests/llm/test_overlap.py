@@ -2,6 +2,7 @@
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slipweave.llm import overlap
@@ -75,6 +76,21 @@ def test_crowd_of_near_copies_and_of_others(spark):
     assert {1000 + i for i in range(60)} <= kept
 
 
+def test_boilerplate_does_not_pair(spark):
+    """Texts that share most of their words but not four fifths of their shingles meet by rare shingles only: hardly any pairs, and the near copies among them go."""
+    shared = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(shared + [f"o{i}x{k}" for k in range(70)])) for i in range(150)]
+    rows += [(1000 + i, " ".join(shared + [f"o{i}x{k}" for k in range(66)])) for i in range(0, 150, 10)]
+    frame = _frame(spark, rows)
+    sets = overlap._per_text(frame.select(F.col("doc_id").alias("h"), "text"), False, 5).cache()
+    pairs = overlap._candidates(overlap.rare_members(sets), overlap.rare_members(sets).groupBy("key").agg(F.count("*").alias("n"), F.lit(None).cast("struct<o:bigint,h:bigint>").alias("hub")).filter("n > 1"),
+                                len(rows), 0, True)
+    assert pairs.count() <= 2 * len(rows)
+    kept = {r.doc_id for r in overlap.near_dedup(frame).collect()}
+    _check(rows, kept)
+    assert kept == set(range(150))
+
+
 def test_ids_and_edges(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(7, text), (7, text), (7, text + " more"), (9, text), (None, text), (3, "A b"), (4, "a B"), (5, None), (6, " "), (None, "alone")]

@@ -5,6 +5,16 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from slipweave.llm import language, mixing
 from tests.llm import brute
+from tests.llm.test_overlap import _links, _sets
+
+
+def _without_near_copies(docs):
+    """The first document of each group of documents linked by five-word shingle sets with a similarity of 0.8 or more."""
+    sets, first = _sets([r[:2] for r in docs]), {r[0]: r[0] for r in docs}
+    for a, b in sorted(_links(sets)):
+        low, high = sorted((first[a], first[b]))
+        first = {d: low if f == high else f for d, f in first.items()}
+    return [r for r in docs if first[r[0]] == r[0]]
 
 
 def _expected(docs):
@@ -13,8 +23,7 @@ def _expected(docs):
     docs = [r for r in docs if fused[r[0]][0] != "und" and fused[r[0]][1] >= language.MIN_CONFIDENCE]
     kept = {d for d, _, _, stays, _ in brute.exact_groups([(d, t) for d, t, _, _ in docs]) if stays}
     docs = sorted(r for r in docs if r[0] in kept)
-    groups = brute.near_groups([brute.fingerprint(t) for _, t, _, _ in docs], 4)
-    docs = [r for i, r in enumerate(docs) if groups[i] == i]
+    docs = _without_near_copies(docs)
     rates = brute.mixing_rates([(d, t, s) for d, t, _, s in docs], mixing.WEIGHTS, mixing.OTHER)
     model, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
     for d, t, _, s in docs:
