@@ -1,7 +1,7 @@
 """The trie of conversation prefixes, rolled up by depth bands.
 
 A conversation is a path of turns (role, text); each distinct sequence of first d turns is a node, the textless root has depth 0. A prefix is known by its
-depth and two sums of 64-bit hashes of (place, role, text), which are running totals over blocks of turns: no conversation is gathered in one task.
+depth and two sums of 64-bit hashes of (place, role, MD5 of the text), which are running totals over blocks of turns: no conversation is gathered in one task.
 
 Totals over subtrees come from bands of BAND depths. Each node lists its ancestors within its band, which the rows of any one conversation through it hold
 (at most BAND of them), and is exploded to these only. That completes all bands by themselves. The roots of bands then form a trie of their own with a
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from slipweave.llm.common import attach, column, stored
+from slipweave.llm.common import attach, column, sieve, stored
 from slipweave.llm.registry import query
 from slipweave.operators.ordered import running_total, with_ordinal
 
@@ -36,18 +36,31 @@ KEY = ["depth", "p", "q"]
 
 
 def numbered_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, at, role, text): the turns of every conversation, counted from 1."""
+    """(conv_id, at, role, digest, words): the turns of every conversation, counted from 1, with a digest and the number of words in place of the text.
+
+    Texts move only where several turns of a conversation have the same number, to put these in order.
+    """
     rows = turns.filter(column(conv_id).isNotNull()).select(column(conv_id).alias("conv_id"), column(turn).alias("turn"),
                                                             F.coalesce(column(role), F.lit("")).alias("role"), F.coalesce(column(text), F.lit("")).alias("text"))
-    return with_ordinal(rows, "turn", "at", ["conv_id"], then=["role", "text"]).select("conv_id", "at", "role", "text")
+    told = ["conv_id", "turn", "role", F.md5("text").alias("digest"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("words")]
+    none = F.lit(None).cast("string").alias("tie")
+    same = stored(rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).filter("n > 1"))
+    n_same = same.count()
+    if not n_same:
+        keyed = rows.select(*told, none)
+    else:
+        may, rest = sieve(rows, same, ["conv_id", "turn"], n_same)
+        met = may.alias("m").join(same.alias("s").hint("merge"), F.expr("m.conv_id = s.conv_id and m.turn <=> s.turn"), "left").select("m.*", "n")
+        keyed = rest.select(*told, none).unionByName(met.select(*told, F.when(F.col("n").isNotNull(), F.col("text")).alias("tie")))
+    return with_ordinal(keyed, "turn", "at", ["conv_id"], then=["role", "tie"]).select("conv_id", "at", "role", "digest", "words")
 
 
 def rebuilt(turns: DataFrame, family: int = FAMILY, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
     """The conversations with the first h turns of the first of their family in place of their own, h = crc32(conv_id) % head.
 
-    Returns (conv_id, at, role, text) and (conv_id, length) of all conversations, also of those without turns.
+    Returns (conv_id, at, role, digest, words) and (conv_id, length) of all conversations, also of those without turns.
     """
-    turns = stored(turns)
+    turns, told = stored(turns), ["role", "digest", "words"]
     own = turns.groupBy("conv_id").agg(F.count("*").alias("own"))
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % head
     convs = stored(own.withColumn("h", h).withColumn("first", F.col("conv_id") - F.col("conv_id") % family))
@@ -56,30 +69,27 @@ def rebuilt(turns: DataFrame, family: int = FAMILY, head: int = HEAD) -> tuple[D
     convs = stored(convs.join(of_first, "first", "left").select("conv_id", "first", "own", "h", lent.alias("lent")).withColumn(
         "length", F.col("lent") + F.greatest(F.col("own") - F.col("h"), F.lit(0))))
     # at most head - 1 turns a conversation, lent to at most ``family`` of them
-    heads = turns.filter(F.col("at") < head).select(F.col("conv_id").alias("first"), "at", "role", "text")
-    borrowed = heads.join(convs.select("conv_id", "first", "lent"), "first").filter("at <= lent").select("conv_id", "at", "role", "text")
+    heads = turns.filter(F.col("at") < head).select(F.col("conv_id").alias("first"), "at", *told)
+    borrowed = heads.join(convs.select("conv_id", "first", "lent"), "first").filter("at <= lent").select("conv_id", "at", *told)
     kept = attach(turns, convs.select("conv_id", "own", "h", "lent"), ["conv_id"], "own", turns.count()).filter("at > h")
-    kept = kept.select("conv_id", (F.col("at") - F.col("h") + F.col("lent")).alias("at"), "role", "text")
+    kept = kept.select("conv_id", (F.col("at") - F.col("h") + F.col("lent")).alias("at"), *told)
     return borrowed.unionByName(kept), convs.select("conv_id", "length")
 
 
 def prefixes(turns: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(conv_id, depth, p, q, up_p, up_q, words, ends): one stored row per conversation and depth, the root included."""
-    # the length stays where the last turn is, so no join is needed to tell it
-    marked = turns.unionByName(lengths.select("conv_id", (F.col("length") + 1).alias("at"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text")))
-    lane = lambda k: F.xxhash64(F.lit(k), "at", "role", "text").cast("decimal(20,0)")
-    rows = marked.select("conv_id", F.col("at").cast("bigint").alias("at"), F.col("text").isNull().alias("over"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("words"),
-                         *[F.when(F.col("text").isNull(), F.lit(0)).otherwise(lane(k)).cast("decimal(20,0)").alias(f"l{k}") for k in (1, 2)])
+    """(conv_id, depth, p, q, up_p, up_q, words, ends): one stored row per conversation and depth, the root included, and one that says where it ends."""
+    # a row behind the last turn has the hashes of the whole conversation, so no join is needed to tell where it ends
+    behind = lengths.select("conv_id", (F.col("length") + 1).alias("at"), *[F.lit(None).cast("string").alias(c) for c in ("role", "digest")], F.lit(0).cast("bigint").alias("words"))
+    lane = lambda k: F.xxhash64(F.lit(k), "at", "role", "digest").cast("decimal(20,0)")
+    rows = turns.unionByName(behind).select("conv_id", F.col("at").cast("bigint").alias("at"), F.col("digest").isNull().alias("over"), "words",
+                                            *[F.when(F.col("digest").isNull(), F.lit(0)).otherwise(lane(k)).cast("decimal(20,0)").alias(f"l{k}") for k in (1, 2)])
     summed = running_total(rows, ["conv_id"], "at", {"s1": F.col("l1"), "s2": F.col("l2")})
     small = lambda c: (c % F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("bigint")
     own = summed.select("conv_id", F.col("at").alias("depth"), "over", "words", small(F.col("s1")).alias("p"), small(F.col("s2")).alias("q"),
                         small(F.col("s1") - F.col("l1")).alias("up_p"), small(F.col("s2") - F.col("l2")).alias("up_q"))
-    # the row after the last turn says where the conversation ends; all others are prefixes
-    ends = own.filter("over").select("conv_id", (F.col("depth") - 1).alias("depth"), "p", "q", F.lit(True).alias("ends"), F.lit(0).cast("bigint").alias("words"))
-    root = lengths.select("conv_id", F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q"),
-                          F.lit(None).cast("bigint").alias("up_p"), F.lit(None).cast("bigint").alias("up_q"), F.lit(0).cast("bigint").alias("words"), F.lit(False).alias("ends"))
-    there = own.filter("not over").select("conv_id", "depth", "p", "q", "up_p", "up_q", "words", F.lit(False).alias("ends")).unionByName(root)
-    return stored(there.unionByName(ends, allowMissingColumns=True))
+    placed = own.select("conv_id", (F.col("depth") - F.col("over").cast("int")).alias("depth"), "p", "q", "up_p", "up_q", "words", F.col("over").alias("ends"))
+    root = [F.lit(v).cast("bigint").alias(c) for c, v in (("depth", 0), ("p", 0), ("q", 0), ("up_p", None), ("up_q", None), ("words", 0))]
+    return stored(placed.unionByName(lengths.select("conv_id", *root, F.lit(False).alias("ends"))))
 
 
 def _name(*cols: str) -> Column:
@@ -147,7 +157,7 @@ def _digests(ends: DataFrame) -> DataFrame:
 def prefix_trie(turns: DataFrame, lengths: DataFrame, band: int = BAND) -> DataFrame:
     """The nodes of the trie: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
-    ``turns`` (conv_id, at, role, text) count from 1 without gaps; ``lengths`` (conv_id, length) has all conversations.
+    ``turns`` (conv_id, at, role, digest, words) count from 1 without gaps; ``lengths`` (conv_id, length) has all conversations.
     """
     rows = prefixes(turns, lengths)
     there = rows.filter("not ends")
