@@ -20,7 +20,7 @@ def exact_dedup_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Documents go whose five-word shingles overlap by 0.8 or more with those of one that stays."""
+    """Documents go whose five-word shingles overlap by 0.8 or more with those of one that stays; SimHash links find the closest copies, MinHash keys the others."""
     return overlap.near_dedup(docs)
 
 
