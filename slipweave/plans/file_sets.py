@@ -43,8 +43,9 @@ def src_file_hash(spark, sf_dir):
 
 @query("src_text_batch", "SELECT doc_id, 'slip_' || row_number() OVER (ORDER BY doc_id) AS file_name, length(text) AS n FROM documents")
 def src_text_batch(spark, sf_dir):
-    docs = with_ordinal(documents(spark, sf_dir, "text"), "doc_id", "no")
-    return docs.select("doc_id", F.concat(F.lit("slip_"), F.col("no").cast("string")).alias("file_name"), F.length("text").alias("n"))
+    # the numbering moves ids and lengths, not texts
+    docs = with_ordinal(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id", "no")
+    return docs.select("doc_id", F.concat(F.lit("slip_"), F.col("no").cast("string")).alias("file_name"), "n")
 
 
 @query("src_name_list", FILES + "SELECT name, pos, row_number() OVER (ORDER BY pos) AS no FROM q")
