@@ -7,6 +7,7 @@ from slipweave.operators import series as S
 from slipweave.operators.ordered import running_total, with_neighbours, with_ordinal
 from slipweave.operators.slips import with_lines
 from slipweave.functions import fields as X
+from slipweave.functions.text import let
 from slipweave.plans.registry import query
 from slipweave.sources import feeds
 from slipweave.sources.sinks import stored
@@ -254,6 +255,6 @@ def win_next_line(spark, sf_dir):
 SELECT idx, pos, max(CASE WHEN line = 'ไปยัง' THEN 1 ELSE 0 END) OVER (PARTITION BY idx ORDER BY pos) = 1 AS in_receiver_section FROM l""")
 def win_section_flag(spark, sf_dir):
     f = with_lines(feeds.slip_feed(spark, sf_dir))
-    cue = F.array_position(F.transform("lines", X.receiver_label), F.lit(True))
+    cue = F.array_position(F.transform("lines", lambda l: let(F.lower(l), X.receiver_label)), F.lit(True))
     return f.select("idx", cue.alias("cue"), F.posexplode("lines").alias("pos", "line")).select(
         "idx", "pos", ((F.col("cue") > 0) & (F.col("pos") + 1 >= F.col("cue"))).alias("in_receiver_section"))

@@ -1,13 +1,39 @@
-"""Only narrow rows are shuffled."""
+"""What slip parsing and file lists do per row: texts are read once, and only narrow rows are shuffled."""
+import random
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from slipweave import rules as R
+from slipweave.functions import text as T
 
 
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_words_and_lines_brute_force(spark):
+    r = random.Random(7)
+    words = ["scb", "scb easy", "scbeasy", "กรุงศรี", "กรุงศรีอยุธยา", "อยุธยา", "easy", "a.b", "x"]
+    texts = ["", " \n ", *("".join(r.choice([*words, " ", "\n", "\r\n", "\t", "\x1f", "\x85", "　", "sc", "กรุง", "-"]) for _ in range(r.randint(1, 12))) for _ in range(400))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    found = T.occurring(F.col("t"), words)
+    rows = df.select("i", "t", T.lines(F.col("t")).alias("lines"), T.contains_any(F.col("t"), words).alias("any"), *[F.contains(found, F.lit(w)).alias(f"w{k}") for k, w in enumerate(words)]).collect()
+    for row in rows:
+        assert row["lines"] == [x for x in (p.strip(T._BLANKS) for p in re.split(T._LINE_BREAK, row["t"])) if x]
+        assert row["any"] == any(w in row["t"] for w in words)
+        assert [row[f"w{k}"] for k in range(len(words))] == [w in row["t"] for w in words]
+
+
+def test_texts_are_read_once(spark, sf_dir):
+    """The keywords of a bank do not lower the text one by one, labelled names are not looked for in every line, no lambda decodes a pattern."""
+    plan = optimized(entry.queries()["ext_completeness"](spark, sf_dir))
+    assert len(re.findall(r"lower\(raw_text", plan)) <= 1
+    plan = optimized(entry.queries()["ext_parties"](spark, sf_dir))
+    assert not re.search(r"RLIKE", plan)
+
+
 def test_numbering_moves_no_texts(spark, sf_dir):
     plan = optimized(entry.queries()["src_text_batch"](spark, sf_dir))
     assert not [line for line in plan.split("\n") if "text#" in line and re.search(r"Window|Sort|Repartition|Join|Aggregate", line)]
