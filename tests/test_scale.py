@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from slipweave import rules as R
+from slipweave.functions import fields as X
 from slipweave.functions import text as T
+from slipweave.functions.regex import prefix_tree
 
 
 def optimized(df):
@@ -39,3 +41,39 @@ def test_numbering_moves_no_texts(spark, sf_dir):
     assert not [line for line in plan.split("\n") if "text#" in line and re.search(r"Window|Sort|Repartition|Join|Aggregate", line)]
     below = plan.split("Window", 1)[1]
     assert not re.search(r"Project \[[^\]]*\btext#\d+[,\]]", below)
+
+
+def test_common_texts_take_small_classes(spark):
+    """Lines of ASCII and Thai texts come from two small classes, in one run over the text however long it is, and are those of the classes of all blanks."""
+    assert T._COMMON in optimized(spark.range(1).select(T.lines(F.col("id").cast("string")).alias("l")))
+    r = random.Random(11)
+    texts = ["กa" * 200_000 + "\n b ", *("".join(r.choice(["ก", "น.ส.", "x", " ", "\n", "  ", "-", "7", "\x85", "é", " "]) for _ in range(r.randint(0, 30))) for _ in range(300))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for row in df.select("t", T.lines(F.col("t")).alias("lines")).collect():
+        assert row["lines"] == [x for x in (p.strip(T._BLANKS) for p in re.split(T._LINE_BREAK, row["t"])) if x]
+
+
+def test_word_lists_begin_with_one_range():
+    """Java tests the members of a class beyond Latin one by one: word lists look ahead for one range and a set of ASCII characters."""
+    for words in (R.SENDER_LABELS, R.RECEIVER_LABELS, R.NAME_NOISE, R.PERSON_PREFIXES):
+        ahead = re.match(r"\(\?=\[(.*?)\]\)", prefix_tree(words)).group(1)
+        assert len([c for c in ahead if c > "~"]) == 2
+        assert all(re.match(f"[{ahead}]", w) for w in words)
+
+
+def test_account_share_brute_force(spark):
+    """An account token makes up 65 % of the counted characters, or all of the line but blanks (digits of other scripts count in the line only)."""
+    r = random.Random(5)
+    parts = ["xxx", "123", "๑๒๓", "-", " ", "4567890", "นาย", "ab", "X", ":", "　", ".", "12"]
+    texts = ["", " ", "xxx-x-xx123-4", " ๑๒๓๔๕๖ ", "๑๒๓๔๕๖ a", *("".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(600))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    hits = 0
+    for row in df.select("t", X.account_token(F.col("t")).alias("token"), X.account_like(F.col("t")).alias("like")).collect():
+        want = False
+        if row["token"] is not None:
+            token, line = (re.sub(r"[\s\x1c-\x1f]+", "", c) for c in (row["token"], row["t"]))
+            token_chars, line_chars = len(re.sub("[^A-Za-z0-9xX-]", "", token)), len(re.sub(r"[^A-Za-z0-9ก-๙xX\.-]", "", line))
+            want = token.lower() == line.lower() or line_chars > 0 and token_chars >= R.ACCOUNT_SHARE * line_chars
+        assert row["like"] == want, row
+        hits += want
+    assert hits > 50
