@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from slipweave.operators import match
+from slipweave.operators import ledger, match
 from slipweave.sources import scan, sinks
 from slipweave.streaming import ingest
 
@@ -95,3 +95,13 @@ def test_late_repeat_is_new_after_the_window(spark, tmp_path):
     arrive((1, "2024-01-01 06:00:00"), (3, "2024-01-01 01:00:00"))
     got = sorted((r.id, str(r.ts)) for r in spark.read.parquet(out).collect())
     assert [i for i, _ in got] == [1, 1, 2]
+
+
+def test_batch_summary_lists_the_failed_files(spark):
+    schema = "index long, file_name string, error string, millis long"
+    rows = [(i, f"s{i}.jpg", "EMPTY_TEXT" if i % 3 == 0 else None, 1000 * i) for i in (7, 3, 9, 1, 0, 4)]
+    row = ledger.batch_summary(spark.createDataFrame(rows, schema).repartition(4)).first()
+    assert [tuple(f) for f in row.failed_files] == [(0, "s0.jpg", "EMPTY_TEXT"), (3, "s3.jpg", "EMPTY_TEXT"), (9, "s9.jpg", "EMPTY_TEXT")]
+    assert (row.total_files, row.processed_files, row.success_count, row.failure_count, row.avg_seconds) == (6, 6, 3, 3, 4.0)
+    none = ledger.batch_summary(spark.createDataFrame([], schema)).first()
+    assert (none.total_files, none.failed_files, none.avg_seconds) == (0, [], 0.0)
