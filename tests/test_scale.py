@@ -9,6 +9,8 @@ from slipweave import rules as R
 from slipweave.functions import fields as X
 from slipweave.functions import text as T
 from slipweave.functions.regex import prefix_tree
+from slipweave.operators import ledger, match
+from slipweave.plans.slip_reports import facts, matched, target_name
 
 
 def optimized(df):
@@ -77,3 +79,33 @@ def test_account_share_brute_force(spark):
         assert row["like"] == want, row
         hits += want
     assert hits > 50
+
+
+def test_held_cells_are_compared_one_by_one(spark):
+    """A list of cells would be built by interpreted code, each cell with all that it is made of, for every row."""
+    cells = ["date", "time", "bank", "sender", "receiver", "receiver_bank", "amount", "memo"]
+    rows = [["-"] * 8, *[["-"] * k + ["x"] + ["-"] * (7 - k) for k in range(8)]]
+    df = spark.createDataFrame(rows, cells)
+    held = df.select(ledger.has_extracted(df).alias("h"))
+    assert [row["h"] for row in held.collect()] == [False] + [True] * 8
+    assert "lambda" not in optimized(held)
+
+
+def test_reports_keep_other_columns(spark, sf_dir):
+    """Rows and reports are written together without meeting in a join."""
+    f = facts(spark, sf_dir)
+    both = ledger.nested_report(f, "file_name", "amount")
+    assert "Join" not in optimized(both)
+    want = {row["index"]: (row["file_name"], row["amount"]) for row in f.select("index", "file_name", "amount").collect()}
+    assert {row["index"]: (row["file_name"], row["amount"]) for row in both.collect()} == want
+
+
+def test_replayed_records_are_read_once(spark, sf_dir, tmp_path):
+    """Groups and rows of the duplicates both start from the matched rows as they were written, not from the records."""
+    f = facts(spark, sf_dir)
+    f.drop("fingerprint").withColumn("review_reason", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/records")
+    done = match.replay_audit(spark.read.parquet(f"{tmp_path}/records"), target_name())
+    assert done.inputFiles() and not [path for path in done.inputFiles() if f"{tmp_path}/records" in path]
+    wanted = match.flag_duplicates(matched(f).filter("target_matched"))
+    columns = ["index", "fingerprint", "duplicate", "duplicate_of", "review_required", "review_reason"]
+    assert sorted(map(str, done.select(columns).collect())) == sorted(map(str, wanted.select(columns).collect()))
