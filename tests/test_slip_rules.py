@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from golden_texts import GOLDEN
 from slipweave import rules as R
 from slipweave.functions import fields as X
@@ -79,3 +80,22 @@ def test_facts_run_the_rules_in_one_function(spark, odd):
     """No nested column functions per line: those cost several times what the rules cost."""
     plan = M.fact_rows(slips.parse_slips(odd.withColumn("file_path", F.lit("")).withColumn("file_name", F.lit(""))))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "lambda" not in plan.split("MapInArrow")[1]
+
+
+def test_labelled_fields_are_those_of_the_column_functions(spark, odd):
+    text = F.col("raw_text")
+    lined = slips.with_lines(odd).withColumn("p", slips.labelled_parties(F.col("lines")))
+    want = lined.select("idx", X.bank_longest_keyword(text).alias("bank"), X.amount_near_label(F.col("lines")).alias("amount"), X.date_text(text).alias("date"),
+                        F.col("p.sender").alias("sender"), F.col("p.receiver").alias("receiver"), X.reference_short(text).alias("reference"))
+    got = {row["idx"]: row.asDict() for row in slips.labelled_fields(odd).collect()}
+    rows = [row.asDict() for row in want.collect()]
+    for row in rows:
+        assert {n: got[row["idx"]][n] for n in row} == row, got[row["idx"]]["raw_text"]
+    for n in ("bank", "date", "sender", "receiver", "reference"):
+        assert sum(row[n] != "Unknown" for row in rows) > 100, n
+    assert len(rows) == len(got) and sum(row["amount"] > 0 for row in rows) > 100
+
+
+def test_fill_rates_run_the_rules_in_one_function(spark, sf_dir):
+    plan = entry.queries()["ext_fill_rate"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan
