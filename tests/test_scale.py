@@ -1,4 +1,5 @@
 """What slip parsing and file lists do per row: texts are read once, and only narrow rows are shuffled."""
+import math
 import random
 import re
 
@@ -7,9 +8,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from slipweave import rules as R
 from slipweave.functions import fields as X
-from slipweave.functions import text as T
+from slipweave.functions import text as T, word_runs
 from slipweave.functions.regex import prefix_tree
-from slipweave.operators import ledger, match
+from slipweave.operators import documents, ledger, match
 from slipweave.plans.slip_reports import facts, matched, target_name
 
 
@@ -109,3 +110,37 @@ def test_replayed_records_are_read_once(spark, sf_dir, tmp_path):
     wanted = match.flag_duplicates(matched(f).filter("target_matched"))
     columns = ["index", "fingerprint", "duplicate", "duplicate_of", "review_required", "review_reason"]
     assert sorted(map(str, done.select(columns).collect())) == sorted(map(str, wanted.select(columns).collect()))
+
+
+def test_rarest_runs_brute_force(spark):
+    """The first runs in one order for all texts, and of those only what passes the sieve, which holds all of its values and few others."""
+    r = random.Random(3)
+    texts = [None, "", " \n", "a b", *(" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 40))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    degrees = word_runs.counts(df, 3)
+    known, cells = {}, {}
+    runs = {i: word_runs.runs_of(t, 3, known).tolist() for i, t in enumerate(texts) if t is not None}
+    assert all(len(found) == len({tuple(t.split()[k:k + 3]) for k in range(max(len(t.split()) - 2, 1))}) for t, found in ((texts[i], found) for i, found in runs.items()))
+    for found in runs.values():
+        for s in found:
+            cells[s % len(degrees)] = cells.get(s % len(degrees), 0) + 1
+    assert all(degrees[c] == n for c, n in cells.items() if n < 128) and max(cells.values()) < 1 << 20
+    order = spark.sparkContext.broadcast(degrees)
+    first = {i: sorted(found, key=lambda s: (degrees[s % len(degrees)], s))[:len(found) - math.ceil(len(found) * 0.8 - 1e-9) + 1] for i, found in runs.items()}
+    signed = lambda s: s - (1 << 64) if s >> 63 else s
+    assert sorted(row["s"] for row in word_runs.rarest(df, order, 3, 0.8).collect()) == sorted(signed(s) for found in first.values() for s in found)
+    kept = {s for found in first.values() for s in found[::2]}
+    held = spark.sparkContext.broadcast(word_runs.sieve(spark.createDataFrame([(signed(s),) for s in kept], "s bigint")))
+    got = [(row["doc_id"], row["n"], row["s"]) for row in word_runs.rarest(df, order, 3, 0.8, held).collect()]
+    want = [(i, len(runs[i]), signed(s)) for i, found in first.items() for s in found if s in kept]
+    assert set(want) <= set(got) and len(got) <= len(want) + 20 and len(set(got)) == len(got)
+
+
+def test_runs_of_texts_are_never_shuffled(spark, sf_dir):
+    """What is written and shuffled of the texts are the rarest runs that another text has, and the runs of texts in pairs."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(50)], "doc_id long, text string")
+    firsts = docs.select("doc_id")
+    prefix = documents._rarest(docs, firsts, 0.8, 5, 512)
+    assert prefix.count() == 0
+    pairs = docs.filter("doc_id = 0").select("doc_id", F.lit(1).cast("bigint").alias("other"))
+    assert [tuple(row) for row in documents._similarities(pairs, docs, 5).collect()] == [(0, 1, 0.0)]
