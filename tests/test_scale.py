@@ -118,7 +118,7 @@ def test_rarest_runs_brute_force(spark):
     texts = [None, "", " \n", "a b", *(" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 40))) for _ in range(300))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     degrees = word_runs.counts(df, 3)
-    known, cells = {}, {}
+    known, cells = word_runs.Words(), {}
     runs = {i: word_runs.runs_of(t, 3, known).tolist() for i, t in enumerate(texts) if t is not None}
     assert all(len(found) == len({tuple(t.split()[k:k + 3]) for k in range(max(len(t.split()) - 2, 1))}) for t, found in ((texts[i], found) for i, found in runs.items()))
     for found in runs.values():
